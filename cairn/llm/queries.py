@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import chat, decontaminate, exact_dedup, langid, pii, quality, secrets, sharding
+from cairn.llm import chat, decontaminate, exact_dedup, langid, packing, pii, quality, secrets, sharding
 from cairn.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op6(table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op7(table(spark, sf_dir, "conversations"))
 
@@ -42,6 +46,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality, op3_decontaminate, op4_exact_dedup, op5_language, op7_chat, op8_secrets, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality, op3_decontaminate, op4_exact_dedup, op5_language, op6_packing, op7_chat, op8_secrets, op10_pii)}
 
 ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_chat": chat.ORACLE}
