@@ -106,17 +106,18 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, mode: str = "docum
     if mode == "span":
         return _without_spans(documents, benchmark, window)
     bad = hits(documents.select("doc_id", "text"), benchmark, window).filter(F.size("hit") > 0).select(F.col("_doc.doc_id").alias("_bad")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
 def _without_spans(documents: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     cuts = hits(documents.select("doc_id", "text"), benchmark, window).filter(F.size("hit") > 0)
     cuts = cuts.groupBy(F.col("_doc.doc_id").alias("_bad")).agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("_hit"))
     # Parts alternate: what lies between words, then a word; a word is kept unless it is hit.
-    joined = documents.join(cuts, F.col("doc_id").eqNullSafe(F.col("_bad")), "left")
+    joined = documents.join(cuts, documents["doc_id"].eqNullSafe(cuts["_bad"]), "left")
     parts = F.regexp_extract_all("text", F.lit(r"([^0-9A-Za-z\x{80}-\x{10FFFF}]*)([0-9A-Za-z\x{80}-\x{10FFFF}]+|$)"), F.lit(0))
     kept = _let(parts, lambda p: F.array_join(F.transform(p, lambda x, i: F.when(F.array_contains("_hit", i), F.lit(" ")).otherwise(x)), ""))
-    return joined.withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(kept)).drop("_bad", "_hit")
+    text = F.when(F.col("_hit").isNull(), F.col("text")).otherwise(kept).alias("text")
+    return joined.select(*[text if c == "text" else documents[c] for c in documents.columns])
 
 
 def op3(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

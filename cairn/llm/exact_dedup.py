@@ -131,13 +131,12 @@ def exact_dedup(documents: DataFrame, keep: str = "largest") -> DataFrame:
     ids = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("any"), F.min("kept").alias("all"))
     mixed = ids.filter("(n > 1 OR doc_id IS NULL) AND NOT all").select(F.col("doc_id").alias("_id"))
     out = ids.filter("NOT any").select(F.col("doc_id").alias("_id"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    plain = documents.join(out.unionByName(mixed).distinct(), same, "left_anti")
+    gone = out.unionByName(mixed).distinct()
+    plain = documents.join(gone, documents["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
     kept = groups.filter("kept").select(F.col("doc_id").alias("_kept"), F.col("digest").alias("_digest"))
-    rest = documents.join(mixed, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    rest = rest.withColumn("_sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    rest = rest.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("_digest")), "left_semi").drop("_sha")
-    return plain.unionByName(rest)
+    rest = documents.join(mixed, documents["doc_id"].eqNullSafe(mixed["_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    sha = F.unhex(F.sha2(F.coalesce(rest["text"], F.lit("")), 256))
+    return plain.unionByName(rest.join(kept, rest["doc_id"].eqNullSafe(kept["_kept"]) & (sha == kept["_digest"]), "left_semi"))
 
 
 def op4(documents: DataFrame) -> DataFrame:

@@ -218,5 +218,5 @@ def keep_identified(documents: DataFrame) -> DataFrame:
     An ambiguous text stays; its language is a matter of doubt, not its being a text.
     Columns and rows that stay are as they came, repeated rows too.
     """
-    found = identify(documents, learn(documents), *documents.columns)
-    return found.filter(F.col("lang_pred") != "und").select(*documents.columns)
+    found = identify(documents, learn(documents), F.struct(*documents.columns).alias("_doc"))
+    return found.filter(F.col("lang_pred") != "und").select("_doc.*")

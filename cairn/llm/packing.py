@@ -144,21 +144,19 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     """
     small_batches(pieces.sparkSession)
     schema = pieces.select(*pieces.columns).schema.add("_sequence", "long").add("_offset", "long").add("_final", "boolean")
-    left, elites, done = pieces.select(*pieces.columns), (), None
+    left, elites, done, last = pieces.select(*pieces.columns), (), None, False
     for epoch in range(EPOCHS):
-        last = epoch == EPOCHS - 1
+        last = last or epoch == EPOCHS - 1
         placed = stored(left.mapInArrow(lambda it, e=epoch, z=last, s=elites: _islands(it, e, z, s, capacity, length), schema), f"epoch{epoch}")
         final = placed.filter("_final")
-        if not last:
-            left = placed.filter("NOT _final").select(*pieces.columns)
-            n = left.count()
-            if n <= ISLAND // 8:
-                # Too few to gain from another deal: their bins stand.
-                final, last = placed, True
         done = final if done is None else done.unionByName(final)
-        if last:
+        left = placed.filter("NOT _final").select(*pieces.columns)
+        n = 0 if last else left.count()
+        if not n:
             break
-        left = left.repartition(max(1, -(-n // ISLAND)))
+        # What fits on one island ends there.
+        last = n <= ISLAND
+        left = left.repartition(-(-n // ISLAND))
         found = final.filter(F.col(length) < capacity).groupBy("_sequence").agg(F.sort_array(F.collect_list(length), asc=False).alias("p"))
         top = found.filter(F.size("p") <= 8).groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p").limit(ELITES).collect()
         elites = tuple(tuple(r["p"]) for r in top if r["n"] > 1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import chat, decontaminate, exact_dedup, langid, packing, pii, quality, secrets, sharding
+from cairn.llm import chat, decontaminate, exact_dedup, langid, near_dedup, packing, pii, quality, secrets, sharding
 from cairn.llm.common import table
 
 
@@ -42,10 +42,14 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.op9(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality, op3_decontaminate, op4_exact_dedup, op5_language, op6_packing, op7_chat, op8_secrets, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality, op3_decontaminate, op4_exact_dedup, op5_language, op6_packing, op7_chat, op8_secrets, op9_near_dedup, op10_pii)}
 
 ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_chat": chat.ORACLE}
