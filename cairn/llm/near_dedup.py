@@ -6,10 +6,11 @@ value of the first full one on its own random walk. 64 bands of 8 slots give the
 at the threshold of 0.8 shares none with a chance of 1 in 100,000, and unrelated texts hardly ever
 share one however many there are.
 Edges of a bucket form a star. Its centre is the member that collides most over all bands, the
-likely original of a family of copies. Each edge is confirmed on the full sets. Where confirmed
-links leave a bucket in several components, pairs across them are screened by sketches in
-blocks of bounded size, and what passes is confirmed in the same way, so that the star loses no
-link. Components come from labels that spread along links.
+likely original of a family of copies. Each edge is confirmed on the full sets. A family is what
+edges join, confirmed or not. Where confirmed links leave a family in several components, pairs
+across them are held against each other inside tasks, by sketches and then by the full sets, in
+blocks of bounded bytes; only links leave a task, so that the star loses none and no list of
+pairs is formed. Components come from labels that spread along links.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import kernel as K
@@ -28,9 +28,9 @@ from cairn.llm.common import in_filter, membership_filter, small_batches, stored
 
 SLOTS, BANDS = 512, 64
 ROWS = SLOTS // BANDS
-#: Rows of a block in which sketches are held against each other, and the estimate from which a
-#: pair is confirmed: six standard deviations below a similarity of 0.8.
-BLOCK, SCREEN = 1024, 0.69
+#: Bytes of sets in a block, a task holding two; slots of the first look at sketches, and how far
+#: below the threshold an estimate may be to go on: five standard deviations or more.
+BLOCK, LOOK, LOOK_SLACK, SLACK = 4 << 20, 128, 0.18, 0.11
 
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -154,12 +154,15 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def full_sets(wanted: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Stored: sid and members of the sets whose numbers are in wanted (and a few more, if it is very large)."""
+    bits = wanted.sparkSession.sparkContext.broadcast(membership_filter(wanted, "sid"))
+    found = texts.mapInArrow(lambda it: _sets(it, n, bits.value), "sid long, members binary")
+    return stored(found.groupBy("sid").agg(F.first("members").alias("members")), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Stored: the pairs (a, b) of set numbers whose full sets are similar."""
-    spark = pairs.sparkSession
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
-    bits = spark.sparkContext.broadcast(membership_filter(wanted, "sid"))
-    sets = stored(texts.mapInArrow(lambda it: _sets(it, n, bits.value), "sid long, members binary").groupBy("sid").agg(F.first("members").alias("members")), "sets")
     x, y = sets.select(F.col("sid").alias("a"), F.col("members").alias("x")), sets.select(F.col("sid").alias("b"), F.col("members").alias("y"))
     # Members first: a centre has many edges, and Spark splits that side of the second join.
     joined = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
@@ -185,60 +188,63 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components within groups of rows that follow each other: left against right, or all against all."""
-    group: list[tuple] = []
-    last = None
-
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        left = [r for r in rows if r[1] != "R"]
-        right = [r for r in rows if r[1] != "L"]
-        if not left or not right:
-            return
-        ls, rs = (np.frombuffer(b"".join(r[4] for r in x), np.uint8).reshape(len(x), SLOTS) for x in (left, right))
-        lid, rid = (np.array([r[2] for r in x]) for x in (left, right))
-        lab, rab = (np.array([r[3] for r in x]) for x in (left, right))
-        for i in range(len(left)):
-            where = np.flatnonzero((rab != lab[i]) & ((rid > lid[i]) if rows[0][1] == "B" else (rid != lid[i])))
-            if not len(where):
-                continue
-            agree = (rs[where] == ls[i]).mean(1)
-            where = where[(agree * 256 - 1) / 255 >= SCREEN]
-            if len(where):
-                a, b = np.minimum(lid[i], rid[where]), np.maximum(lid[i], rid[where])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
+def _links(rows: list[tuple], percent: int) -> pa.RecordBatch | None:
+    """Links between rows (group, side, sid, label, sketch, members) of two blocks, or within one, of different labels."""
+    within = rows[0][1] == "B"
+    left = [r for r in rows if r[1] != "R"]
+    right = left if within else [r for r in rows if r[1] == "R"]
+    if not right or len({r[3] for r in rows}) < 2:
+        return None
+    ids, labels = np.array([r[2] for r in right]), np.array([r[3] for r in right])
+    sketch = np.frombuffer(b"".join(r[4] for r in right), np.uint8).reshape(-1, SLOTS)
+    look = np.ascontiguousarray(sketch[:, :LOOK])
+    sets = [np.frombuffer(r[5], np.uint64) for r in right]
+    least = percent / 100
+    a, b = [], []
+    for _, _, sid, label, own, members in left:
+        where = np.flatnonzero((labels != label) & (ids > sid)) if within else np.flatnonzero(labels != label)
+        for part, table, slack in ((LOOK, look, LOOK_SLACK), (SLOTS, sketch, SLACK)):
+            same = np.count_nonzero(table[where] == np.frombuffer(own, np.uint8)[:part], axis=1)
+            where = where[same >= (least - slack) * part]
+        mine = np.frombuffer(members, np.uint64)
+        for i in where.tolist():
+            if similar(mine, sets[i], percent):
+                a.append(sid)
+                b.append(ids[i])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
+
+
+def _across_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
     for batch in batches:
-        for key, side, sid, label, sketch in zip(*(batch.column(c).to_pylist() for c in ("group", "side", "sid", "label", "sketch")), strict=True):
-            if key != last and group:
-                yield from pairs(group)
-                group = []
-            last = key
-            group.append((key, side, sid, label, sketch))
-    if group:
-        yield from pairs(group)
-
-
-def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs that a star may have missed: in a bucket of several components, across them, and alike by sketch."""
-    named = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
-    named = stored(named, "named")
-    mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 2 AND low != high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = stored(named.join(mixed, "key"), "mixed")
-    one = sketches.join(rows.select("sid").distinct(), "sid").groupBy("sid").agg(F.first("sketch").alias("sketch"))
-    rows = rows.join(one, "sid")
-    # A bucket of m blocks becomes m(m+1)/2 groups; a row of block i goes to those with i in them.
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks").cast("long")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        for row in zip(*(batch.column(c).to_pylist() for c in ("group", "side", "sid", "label", "sketch", "members")), strict=True):
+            if rows and rows[0][0] != row[0]:
+                if (found := _links(rows, percent)) is not None:
+                    yield found
+                rows = []
+            rows.append(row)
+    if rows and (found := _links(rows, percent)) is not None:
+        yield found
+
+
+def across(star: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Stored: links that the stars missed, between components of one family."""
+    families = components(star).withColumnRenamed("label", "family")
+    named = families.join(labels, "node", "left").select(F.col("node").alias("sid"), "family", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("family").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    named = stored(named.join(mixed.filter("n > 2 AND low != high").select("family"), "family"), "mixed")
+    sets = full_sets(named.select("sid"), texts, n)
+    one = sketches.join(named.select("sid"), "sid").groupBy("sid").agg(F.first("sketch").alias("sketch"))
+    rows = stored(named.join(sets, "sid").join(one, "sid"), "family_sets")
+    size = rows.groupBy("family").agg(F.ceil(F.sum(F.octet_length("members") + SLOTS) / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(size, "family")
+    # A family of m blocks becomes m(m+1)/2 groups; a row of block i goes to those with i in them.
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(low == high, F.lit("B")).when(F.col("own") == low, F.lit("L")).otherwise(F.lit("R"))
-    rows = rows.select(F.concat_ws(":", "key", low, high).alias("group"), side.alias("side"), "sid", "label", "sketch")
+    rows = rows.select(F.concat_ws(":", "family", low, high).alias("group"), side.alias("side"), "sid", "label", "sketch", "members")
     rows = rows.repartition("group").sortWithinPartitions("group", "side")
-    return rows.mapInArrow(_screen, "a long, b long").distinct()
-
-
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    return stored(rows.mapInArrow(lambda it: _across_batches(it, percent), "a long, b long"), "missed")
 
 
 def near_groups(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -264,15 +270,12 @@ def near_groups(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     centres = members.join(scores, "sid").groupBy("key").agg(F.max(F.struct("score", "sid")).alias("top")).select("key", F.col("top.sid").alias("centre"))
     # The centre is side a of an edge here, whatever its number.
     star = stored(members.join(centres, "key").filter("sid != centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct(), "star")
-    links = confirm(star, texts, n, percent)
+    ends = star.select(F.col("a").alias("sid")).union(star.select("b"))
+    links = confirm(star, full_sets(ends, texts, n), percent)
     labels = components(links)
-    missed = _across(members, labels, rows.select("sid", "sketch"))
-    tried = star.select(*_ordered(F.col("a"), F.col("b")))
-    missed = stored(missed.join(tried, ["a", "b"], "left_anti"), "missed")
+    missed = across(star, labels, rows.select("sid", "sketch"), texts, n, percent)
     if missed.limit(1).count():
-        more = confirm(missed, texts, n, percent)
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
+        labels = components(links.unionByName(missed))
 
     known = rows.filter("sid IS NOT NULL").select("doc_id", "n_shingles", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     known = known.select("doc_id", "n_shingles", F.coalesce("label", "sid").alias("label"))
