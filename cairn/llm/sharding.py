@@ -148,7 +148,7 @@ def reshard_files(source: DataFrame, out: str, shards: int, old: str = "shard")
     their files. A lost task writes its files again; nothing of source is deleted.
     """
     order = F.xxhash64(F.col("doc_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = source.drop(old).withColumn("_was", source[old])
+    rows = source.withColumnRenamed(old, "_was")
     done = reshard(rows, shards, text_bytes(), F.col("_was"), order)
     moves = done.filter("_was != _shard").select("_was", "_shard").distinct().collect()
     touched = sorted({x for r in moves for x in r})
