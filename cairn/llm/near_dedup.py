@@ -170,22 +170,28 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Stored: node and label, the smallest node that links lead to, for each node of links (a, b).
+    """Stored: node and label, the same node for all that links (a, b) join, for each node of links.
 
-    Each round takes the least label of the neighbours and then that label's label, so that
-    chains are followed in a logarithm of their length; rounds end when no label changes.
+    Each round takes the least neighbour, follows it once more, and contracts the edges by these
+    labels; what lies within one label goes, so that rounds end after a logarithm of the nodes and
+    a star is done in one.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "both")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    edges = stored(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct(), "edges")
+    nodes = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hop = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        hop = stored(hop, "hop")
-        jump = hop.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = stored(hop.join(jump, "label", "left").select("node", F.coalesce(F.least("label", "next"), "label").alias("label"), "was"), "labels")
-        if not new.filter("label != was").limit(1).count():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        near = stored(edges.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("label")), "near")
+        hop = near.select(F.col("a").alias("label"), F.col("label").alias("next"))
+        level = stored(near.join(hop, "label").select("a", F.col("next").alias("label")), "level")
+        if nodes is None:
+            nodes = level.withColumnRenamed("a", "node")
+        else:
+            nodes = nodes.join(level.withColumnRenamed("label", "next"), nodes["label"] == level["a"], "left").select("node", F.coalesce("next", "label").alias("label"))
+        nodes = stored(nodes, "nodes")
+        low = edges.join(level, "a").select("b", F.col("label").alias("la"))
+        edges = low.join(level.withColumnRenamed("a", "b"), "b").filter("la != label").select(F.col("la").alias("a"), F.col("label").alias("b")).distinct()
+        edges = stored(edges, "edges")
+        if not edges.limit(1).count():
+            return nodes
 
 
 def _links(rows: list[tuple], percent: int) -> pa.RecordBatch | None:
@@ -229,8 +235,13 @@ def _across_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
 
 def across(star: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Stored: links that the stars missed, between components of one family."""
-    families = components(star).withColumnRenamed("label", "family")
-    named = families.join(labels, "node", "left").select(F.col("node").alias("sid"), "family", F.coalesce("label", "node").alias("label"))
+    named = star.select(F.col("a").alias("node")).union(star.select("b")).distinct().join(labels, "node", "left")
+    named = stored(named.select(F.col("node").alias("sid"), F.coalesce("label", "node").alias("label")), "named")
+    # Families of what is linked already: edges between labels, each once.
+    one, two = (named.select(F.col("sid").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
+    between = stored(star.join(one, "a").join(two, "b").filter("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "between")
+    families = components(between).select(F.col("node").alias("label"), F.col("label").alias("family"))
+    named = named.join(families, "label")
     mixed = named.groupBy("family").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     named = stored(named.join(mixed.filter("n > 2 AND low != high").select("family"), "family"), "mixed")
     sets = full_sets(named.select("sid"), texts, n)
