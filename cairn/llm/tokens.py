@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from cairn.llm import kernel as K
 
 #: Words that a worker remembers before it forgets them all.
-REMEMBERED = 4_000_000
+REMEMBERED = 400_000
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _FOREIGN = range(5)
 _CLASS = np.full(256, _FOREIGN, np.uint8)
