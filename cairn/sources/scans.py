@@ -54,7 +54,7 @@ def decode(content: bytes, layout: Layout) -> pd.DataFrame:
 
 
 def read_scans(spark: SparkSession, path: str, layout: str | Layout, glob: str = "*.bin") -> DataFrame:
-    """SC1-SC9, SC25: points of all files below a path; intensity is NaN where the format has none."""
+    """SC1-SC9, SC25: points of all files below a path; intensity is null where the format has none."""
     how = LAYOUTS[layout] if isinstance(layout, str) else layout
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
 
