@@ -14,6 +14,7 @@ from cairn.functions import vectors as V
 from cairn.operators import metrics as M
 from cairn.operators import neighbours as N
 from cairn.operators import points as P
+from cairn.operators import pose_graph as PG
 from cairn.operators import solvers as S
 from cairn.operators import temporal as T
 from cairn.plans import views as W
@@ -511,6 +512,28 @@ def fps(spark, d):
     return S.farthest_points(P.voxel_first(W.points(spark, d), 4.0, "frame_id"), "frame_id", 32)
 
 
+_MILLI = "floor(({}) * 1e3 + 0.5e0) / 1e3"
+
+
+@query(f"WITH {W.TRAJECTORIES} SELECT seq_id, idx AS vertex, {_MILLI.format('tx')} AS tx, {_MILLI.format('ty')} AS ty, {_MILLI.format('cos(idx * 0.1)')} AS r00 FROM tr")
+def pose_graph(spark, d):
+    """IT11: exact steps, and loops between each tenth pose and the tenth before it; the known poses come back."""
+    w = Window.partitionBy("seq_id").orderBy("idx")
+    t = W.trajectories(spark, d)
+    t = t.select("seq_id", "idx", *[c.alias(n) for n, c in (G.from_euler(F.lit(0.0), F.lit(0.0), F.col("idx") * 0.1) | {c: F.col(c) for c in ("tx", "ty", "tz")}).items()])
+    seen = {}
+    for back, first in ((1, "prior"), (10, None)):
+        before = {c: F.lag(c, back).over(w) for c in G.NAMES}
+        step = t.select("*", *[c.alias(f"b_{n}") for n, c in before.items()])
+        move = G.relative(G.pose("b_"), G.pose())
+        whole = F.col("idx") < back
+        kind = F.when(whole, first).otherwise("odom" if back == 1 else "loop")
+        seen[back] = step.select("seq_id", (F.col("idx") * 2 + int(back > 1)).alias("k"), kind.alias("kind"), (F.col("idx") - back).alias("src"), F.col("idx").alias("dst"), F.lit(0.1).alias("sigma"), *[F.when(whole, F.col(n)).otherwise(c).alias(n) for n, c in move.items()])
+    factors = seen[1].unionByName(seen[10].filter("kind = 'loop' AND dst % 10 = 0"))
+    milli = lambda c: F.floor(F.col(c) * 1e3 + 0.5) / 1e3
+    return PG.pose_graph(factors, "seq_id", "k").select("seq_id", "vertex", *[milli(c).alias(c) for c in ("tx", "ty", "r00")])
+
+
 @query()
 def odometry(spark, d):
     p = P.voxel_first(W.points(spark, d), 4.0, "frame_id").withColumn("seq_id", F.col("frame_id") % 5)
