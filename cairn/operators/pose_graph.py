@@ -117,7 +117,7 @@ def _step(poses: np.ndarray, factors: Factor, rounds: int) -> np.ndarray:
     p, was = y, float((r * y).sum())
     first = was
     for _ in range(rounds):
-        if was <= 1e-20 * first:
+        if was <= 1e-16 * first:
             break
         hp = gathered(np.einsum("nij,nj->ni", by_i, p[i]) + np.einsum("nij,nj->ni", by_j, p[j]))
         a = was / float((p * hp).sum())
@@ -134,6 +134,8 @@ def optimise(poses: np.ndarray, factors: Factor, rounds: int = 50, stop: float =
     loops = int(((factors[0] >= 0) & (factors[1] != factors[0] + 1)).sum())
     for _ in range(rounds):
         step = _step(poses, factors, 6 * loops + 12)
+        if np.abs(step).max() < stop:
+            break
         for half in range(12):
             moved = poses @ np.stack([se3_exp(v) for v in step * 0.5**half])
             now = cost(moved, factors)
@@ -142,8 +144,6 @@ def optimise(poses: np.ndarray, factors: Factor, rounds: int = 50, stop: float =
         else:
             return poses
         poses, least = moved, now
-        if np.abs(step).max() < stop:
-            break
     return poses
 
 
