@@ -30,7 +30,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._/-]*[A-Za-z0-9])?")
 _WORDS = re.compile(r"[^\W\d_]+")
-_HINT = r"@[A-Za-z0-9]|@-|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]([ -]?[0-9]){11}|\+[0-9][ ().0-9-]+[0-9]|[0-9]{4}"
+# Its last alternative holds for each token that is identifier_like: of six characters or more a third are two digits at least.
+_HINT = r"@[A-Za-z0-9]|@-|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]([ -]?[0-9]){11}|\+[0-9][ ().0-9-]+[0-9]|[0-9][A-Za-z0-9._/-]*[0-9]"
 
 #: Characters before an entity that its pattern is read from, and words that it has at most.
 CONTEXT, WORDS = 48, 2

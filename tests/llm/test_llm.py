@@ -305,6 +305,20 @@ def test_patterns_find_unseen(spark):
     assert got[50] == "found:11:22" and got[51] == "" and got[1].startswith("ip:11:")
 
 
+def test_short_runs_of_digits_are_scanned(spark):
+    tokens = ["A1B2C3", "12-34-56", "555-123-987", "E123-456", "a1f0b9c2", "x/1.2y"]
+    rows = [(i, f"client id: {i}0.2.3.{i} said so") for i in range(1, 9)] + [(50 + i, f"client id: {t} said so") for i, t in enumerate(tokens)] + [(70, "client id: A1BCDEF said so")]
+    got = {r.doc_id: r.spans for r in pii.op10(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[50 + i] for i in range(len(tokens))] == [f"found:11:{11 + len(t)}" for t in tokens] and got[70] == ""
+
+
+def test_hint_lets_candidates_through():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("a1B2-._/ +@") for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    found = [t for t in texts if any(pii.identifier_like(m[0]) for m in pii._TOKEN.finditer(t)) or pii.find_base(t)]
+    assert len(found) > 1000 and all(re.search(pii._HINT, t) for t in found)
+
+
 def test_long_runs_are_linear():
     assert pii.find_personal("a" * 200_000 + "@" * 50_000 + "9" * 200_000)[0] == []
     assert secrets.find_secrets("f" * 200_000)[0] == [("hex", 0, 200_000)]
