@@ -167,13 +167,13 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def identify_batches(batches: Iterator[pa.RecordBatch], model: LanguageModel, column: int) -> Iterator[pa.RecordBatch]:
-    """Adds lang_pred, score and ambiguous to batches; column: the place of the text, which goes."""
+    """Adds lang_pred, score, ambiguous and has_letter to batches; column: the place of the text, which goes."""
     for batch in batches:
         pred: list[str] = []
-        score, ambiguous = np.zeros(len(batch)), np.ones(len(batch), bool)
+        score, ambiguous, has_letter = np.zeros(len(batch)), np.ones(len(batch), bool), np.zeros(len(batch), bool)
         for a, b, data, offsets in K.text_pieces(batch.column(column)):
             margins, _ = model.margins(data, offsets)
-            letter = _has_letter(data, offsets)
+            letter = has_letter[a:b] = _has_letter(data, offsets)
             if not model.langs:
                 pred += ["und"] * (b - a)
                 continue
@@ -183,19 +183,20 @@ def identify_batches(batches: Iterator[pa.RecordBatch], model: LanguageModel, co
             ambiguous[a:b] = ~letter | (lead < AMBIGUOUS)
         kept = [c for i, c in enumerate(batch.columns) if i != column]
         names = [n for i, n in enumerate(batch.schema.names) if i != column]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score), pa.array(ambiguous)], [*names, "lang_pred", "score", "ambiguous"])
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score), pa.array(ambiguous), pa.array(has_letter)], [*names, "lang_pred", "score", "ambiguous", "has_letter"])
 
 
 def identify(rows: DataFrame, model: LanguageModel, *keep: Column | str, text: str = "text") -> DataFrame:
-    """The columns `keep` of each row with lang_pred, score and ambiguous.
+    """The columns `keep` of each row with lang_pred, score, ambiguous and has_letter.
 
-    lang_pred is "und", with score 0 and ambiguous, where the text is null or has no letter.
+    lang_pred is "und", with score 0 and ambiguous, where the text is null or has no letter, and
+    everywhere where the model knows no language.
     """
     small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     rows = rows.select(*keep, F.col(text).alias("_text"))
     at = len(rows.columns) - 1
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean").add("has_letter", "boolean")
     return rows.mapInArrow(lambda it: identify_batches(it, shared.value, at), schema)
 
 
@@ -209,14 +210,15 @@ def learn(documents: DataFrame) -> LanguageModel:
 
 def op5(documents: DataFrame) -> DataFrame:
     """A null doc_id is not held out; without any training row every text is "und"."""
-    return identify(documents, learn(documents), F.col("doc_id"), held_out().alias("held_out"))
+    return identify(documents, learn(documents), F.col("doc_id"), held_out().alias("held_out")).drop("has_letter")
 
 
 def keep_identified(documents: DataFrame) -> DataFrame:
     """documents without the rows that have no language: null texts and texts without a letter.
 
+    A text with a letter stays whatever lang_pred is, so that a table without any label loses none.
     An ambiguous text stays; its language is a matter of doubt, not its being a text.
     Columns and rows that stay are as they came, repeated rows too.
     """
     found = identify(documents, learn(documents), F.struct(*documents.columns).alias("_doc"))
-    return found.filter(F.col("lang_pred") != "und").select("_doc.*")
+    return found.filter("has_letter").select("_doc.*")

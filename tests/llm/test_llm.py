@@ -132,6 +132,19 @@ def test_no_letter_is_und(spark, docs):
     assert [got[i] == "und" for i in sorted(got)] == [True, True, True, False, False]
 
 
+def test_stage_keeps_texts_without_a_model(spark, data):
+    """No label at all, labels on held-out rows only, and a language that is called und."""
+    import corpus_pipeline
+
+    texts = ["one two", "é", "中", "12 34 !?", "", None]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1]
+    train = [i for i in range(100) if i not in held]
+    for ids, lang in ((train, None), (held, "en"), (train, "und")):
+        df = spark.createDataFrame([(i, t, lang) for i, t in zip(ids, texts, strict=False)], "doc_id long, text string, lang string")
+        out = corpus_pipeline.STAGES[0][1](spark, df, data)
+        assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == ids[:3]
+
+
 # op3
 
 
