@@ -43,8 +43,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     words = K.span_hashes(low, starts, ends)
     count = len(words)
     rolled = np.zeros(count, np.uint64)
-    for k in range(n):
-        rolled[: count - k] = rolled[: count - k] * K.u64(0x9E3779B97F4A7C15) + words[k:] if k < count else rolled[:0]
+    # With fewer words than n in all, no text reads rolled.
+    for k in range(min(n, count)):
+        rolled[: count - k] = rolled[: count - k] * K.u64(0x9E3779B97F4A7C15) + words[k:]
     rolled = K.mix(rolled)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

@@ -395,6 +395,12 @@ def test_near_groups(spark, seed, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("count", range(1, 7))
+def test_near_groups_of_one_short_text(spark, count):
+    df = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(count)))], "doc_id long, text string")
+    assert [tuple(r) for r in near_dedup.near_groups(df, n=5).collect()] == [(7, max(1, count - 4), 7, True)]
+
+
 def test_near_groups_of_documents(docs):
     want = brute_components([(r.doc_id, r.text) for r in docs.collect()], 2)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.op9(docs).collect()} == want
