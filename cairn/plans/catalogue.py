@@ -504,12 +504,12 @@ def robust_register(spark, d):
 @query()
 def icp_register(spark, d):
     a, b = W.pairs_of_frames(spark, d)
-    return S.pairwise(P.voxel_first(a, 4.0, "pair"), P.voxel_first(b, 4.0, "pair"), "pair", voxel=4.0, sigma=2.0)
+    return S.pairwise(a, b, "pair", voxel=4.0, sigma=2.0)
 
 
 @query()
 def fps(spark, d):
-    return S.farthest_points(P.voxel_first(W.points(spark, d), 4.0, "frame_id"), "frame_id", 32)
+    return S.farthest_points(W.points(spark, d), "frame_id", 32)
 
 
 _MILLI = "floor(({}) * 1e3 + 0.5e0) / 1e3"
@@ -536,7 +536,7 @@ def pose_graph(spark, d):
 
 @query()
 def odometry(spark, d):
-    p = P.voxel_first(W.points(spark, d), 4.0, "frame_id").withColumn("seq_id", F.col("frame_id") % 5)
+    p = W.points(spark, d).withColumn("seq_id", F.col("frame_id") % 5)
     return S.odometry(p, voxel=4.0, low=1.0)
 
 
