@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -148,7 +150,7 @@ def icp(source: np.ndarray, target: CellMap, guess: np.ndarray, far: float, kern
     return out
 
 
-def ransac(a: np.ndarray, b: np.ndarray, rounds: int = 2000, far: float = 0.5, seed: int = 0) -> np.ndarray:
+def ransac(a: np.ndarray, b: np.ndarray, rounds: int = 50_000, far: float = 0.5, seed: int = 0) -> np.ndarray:
     """IT4: the pose from three pairs that most pairs agree with, refined over those."""
     rng = np.random.default_rng(seed)
     best, score = np.eye(4), -1
@@ -331,8 +333,8 @@ def farthest_points(points: DataFrame, key: str, n: int) -> DataFrame:
     return points.select(key, "pt_id", "x", "y", "z").groupBy(key).applyInPandas(run, f"{key} long, slot long, pt_id long")
 
 
-def icp_distributed(source: DataFrame, target: DataFrame, size: float, far: float, kernel: float, rounds: int = 20, stop: float = 1e-4) -> np.ndarray:
-    """IT1 for clouds beyond one executor: each round is a cell join and 27 sums; the driver holds one pose."""
+def icp_distributed(source: DataFrame, target: DataFrame, size: float, far: float, kernel: float, rounds: int = 1000, stop: float = 1e-4) -> np.ndarray:
+    """IT1 for clouds beyond one executor: each round is a cell join and 27 sums; the driver holds one pose. Warns when rounds run out."""
     from cairn.operators.neighbours import nearest_in_cells
     from cairn.operators.points import transformed
 
@@ -348,4 +350,6 @@ def icp_distributed(source: DataFrame, target: DataFrame, size: float, far: floa
         out = step @ out
         if np.linalg.norm(step - np.eye(4)) < stop:
             break
+    else:
+        warnings.warn(f"icp_distributed: not converged after {rounds} rounds", stacklevel=2)
     return out

@@ -145,6 +145,20 @@ def test_distributed_icp(spark):
     assert np.allclose(S.icp_distributed(s, m, 1.0, 2.0, 1.0, rounds=8), t, atol=1e-2)
 
 
+def test_ransac_finds_few_inliers():
+    rng = np.random.default_rng(9)
+    a, t = rng.uniform(-20, 20, (200, 3)), random_pose(4)
+    b = S.moved(a, t)
+    b[12:] = rng.uniform(-20, 20, (188, 3))
+    assert np.allclose(S.ransac(a, b), t, atol=1e-2)
+
+
+def test_distributed_icp_says_when_rounds_run_out(spark):
+    s = cloud(spark, [(i, i % 3, i // 3, i % 2) for i in range(9)])
+    with pytest.warns(UserWarning, match="not converged after 1 rounds"):
+        S.icp_distributed(s, s.withColumn("x", F.col("x") + 0.2), 1.0, 2.0, 1.0, rounds=1)
+
+
 def test_trajectory_error_ignores_a_rigid_move():
     path = [S.se3_exp(np.array([i, i * 0.3, 0, 0, 0, 0.1 * i])) for i in range(8)]
     turn, way = S.trajectory_error(path, [random_pose(2) @ p for p in path])
