@@ -305,7 +305,7 @@ def pairwise(source: DataFrame, target: DataFrame, key: str, voxel: float = 1.0,
 
 
 def solve_groups(pairs: DataFrame, key: str, method: str = "kabsch", **settings) -> DataFrame:
-    """Pose of each group of pairs (sx..sz to tx..tz): kabsch, ransac, robust (IT2) or consistent (IT6 with AG18)."""
+    """Pose of each group of pairs (sx..sz to tx..tz): kabsch, ransac, robust (first phase of IT2) or consistent (IT6 with AG18)."""
 
     def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         a, b = xyz(rows.rename(columns={f"s{c}": c for c in "xyz"})), rows[["tx", "ty", "tz"]].to_numpy(np.float64)
