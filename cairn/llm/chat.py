@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import kernel as K
-from cairn.llm.common import small_batches
+from cairn.llm.common import stored
 
 _SLASH, _BAR, _LESS = 0x5C, 0x7C, 0x3C
 _OPEN, _CLOSE, _END = b"<|", b"|>\n", b"<|end|>\n"
@@ -105,9 +105,9 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     Turns go by turn, then role and text, nulls first; a null role or text is empty, a null
     conv_id is one conversation. The rows of a conversation follow each other in one partition,
     by part; loss_start and loss_end are byte ranges of the part that are learned from.
-    A task holds one batch of turns at a time, whatever the length of a conversation.
+    A task holds one batch of turns at a time, whatever the length of a conversation; how many
+    turns that is says spark.sql.execution.arrow.maxRecordsPerBatch when the rows are written.
     """
-    small_batches(turns.sparkSession)
     rows = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "role", "text").mapInArrow(lambda it: _format(it, loss_role), FORMATTED)
 
@@ -187,9 +187,17 @@ TRICKY = "\\### Assistant: </turn> ok"
 
 
 def op7(conversations: DataFrame) -> DataFrame:
+    """Stored: what the formatted conversations say, read back, a row for each conversation and -7.
+
+    Null texts and roles are empty; a null conv_id is one conversation; turns of one number, and
+    repeated rows, go by role and text and all count; an empty table gives conversation -7 alone.
+    Columns beyond conv_id, turn, role and text are not read. A conversation -7 of the table
+    takes the two added rows in.
+    """
     spark = conversations.sparkSession
     tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(conversations.select("conv_id", "turn", "role", "text").unionByName(tricky)))
+    rows = conversations.select("conv_id", "turn", "role", "text").unionByName(tricky)
+    return stored(read_back(format_conversations(rows)), "conversations")
 
 
 ORACLE = r"""

@@ -1,10 +1,11 @@
 """Benchmark decontamination in DataFrame functions only.
 
-The windows of the benchmark items form a hash set that is broadcast in blocks of a bounded
-size, one pass over the documents for each. Each document is cut into words once; every window of it is
+The windows of the benchmark items form a hash set that is broadcast in blocks of bounded bytes,
+one pass over the documents for each. Each document is cut into words once; every window of it is
 hashed, the hashes are exploded and looked up, and a hit is verified word by word against the
-window itself before it counts. No text leaves its task: what is shuffled is one short row for
-each document and one for each verified hit.
+window itself before it counts. No text leaves its task: what is stored is one short row for each
+document and one for each verified hit, its place and the number of its window. Covered words are
+counted along the hits of a document in order of their places, and the items of a window come in by a join.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window, WindowSpec
+
+from cairn.llm.common import scratch, stored
 
 WINDOW = 10
-#: Windows that are broadcast at once; a larger set takes more passes.
-BROADCAST_WINDOWS = 2_000_000
+#: Bytes of windows that are broadcast at once (one window at least); a larger set takes more passes.
+BROADCAST_BYTES = 32 << 20
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Everything but 0-9, a-z and what lies beyond ASCII.
@@ -35,16 +39,17 @@ def _let(value: Column, body) -> Column:
 
 
 def windows_of(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
-    """Distinct windows with the items that hold them: (n, key, gram, items)."""
+    """Distinct windows with the items that hold them: (n, gram, items, key, bytes)."""
     w = benchmark.select(F.col(item).cast("string").alias("item"), words(text).alias("w")).filter(F.size("w") > 0)
     w = w.withColumn("n", F.least(F.size("w"), F.lit(window)))
     w = w.select("item", "n", "w", F.explode(F.expr("sequence(1, size(w) - n + 1)")).alias("at"))
     w = w.select("item", "n", F.expr("slice(w, at, n)").alias("gram"))
-    w = w.groupBy("n", "gram").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    w = w.groupBy("n", "gram").agg(F.collect_set("item").alias("items"))
     key = F.lit(None).cast("long")
     for n in range(1, window + 1):
         key = F.when(F.col("n") == n, F.xxhash64(F.lit(n), *[F.get("gram", F.lit(k)) for k in range(n)])).otherwise(key)
-    return w.withColumn("key", key)
+    # As an array of strings in memory: its bytes and some 24 for each word.
+    return w.withColumn("key", key).withColumn("bytes", F.octet_length(F.array_join("gram", " ")) + 24 * F.col("n") + 64)
 
 
 def _key(n: int) -> Column:
@@ -53,18 +58,22 @@ def _key(n: int) -> Column:
     return F.when((F.col("at") >= 0) & (F.col("at") + n <= F.size("_w")), here)
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each row of documents: row, all columns but the text, n_words, hit (0-based positions of hit words), items.
+def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Stored hits, and the stored windows that they name.
 
-    Documents and items without words have no hits. Items that share a window all count.
-    Items with a null id count as contamination but add no id.
+    Hits: for each row of documents one with _row (a number of its own), _doc (all columns but the
+    text), n_words and at = -1, and one for each verified window with _row, at (0-based place of its
+    first word), n and window. Documents and items without words have none.
     """
-    grams = windows_of(benchmark, item, item_text, window)
-    sizes = {r["n"]: r["c"] for r in grams.groupBy("n").agg(F.count("*").alias("c")).collect()}
-    blocks = max(1, math.ceil(sum(sizes.values()) / BROADCAST_WINDOWS))
+    grams = stored(windows_of(benchmark, item, item_text, window).withColumn("window", F.monotonically_increasing_id()), "windows")
+    sizes = {r["n"]: r["b"] for r in grams.groupBy("n").agg(F.sum("bytes").alias("b")).collect()}
+    blocks = max(1, math.ceil(sum(sizes.values()) / BROADCAST_BYTES))
     keep = [c for c in documents.columns if c != text]
     # Names of our own, so that no column of the input clashes. Place -1 stands for the row itself.
     docs = documents.select(F.struct(*keep).alias("_doc"), F.monotonically_increasing_id().alias("_row"), words(text).alias("_w"))
+    if blocks > 1:
+        # Several passes: the numbers of the rows must be the same in all of them.
+        docs = stored(docs, "words")
     docs = docs.withColumn("_places", F.expr(f"sequence(-1, greatest(-1, size(_w) - {min(sizes, default=window)}))"))
     # All below runs in one generated loop over places: the words of a row are referred to, not copied.
     seen = docs.select("_doc", "_row", "_w", F.explode("_places").alias("at"))
@@ -74,62 +83,108 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text:
         seen = seen.withColumn("key", F.explode(F.array(F.when(F.col("at") < 0, 0).cast("long"), *[_key(n) for n in sorted(sizes)])))
         seen = seen.filter(F.col("key").isNotNull())
     verified = F.col("gram").isNotNull() & (F.col("at") >= 0) & (F.expr("slice(_w, at + 1, n)") == F.col("gram"))
+    looked_up = grams.select("key", "n", "gram", "window")
     found = None
     for b in range(blocks):
-        block = F.broadcast(grams.filter(F.pmod("key", F.lit(blocks)) == b) if blocks > 1 else grams)
+        block = F.broadcast(looked_up.filter(F.pmod("key", F.lit(blocks)) == b) if blocks > 1 else looked_up)
         part = seen.join(block, "key", "left").filter(((F.col("at") < 0) & F.lit(b == 0)) | verified)
         found = part if found is None else found.unionByName(part)
-    found = found.select(
-        "_row",
-        F.when(F.col("at") < 0, F.col("_doc")).alias("_doc"),
-        F.when(F.col("at") < 0, F.size("_w")).cast("long").alias("n_words"),
-        F.when(F.col("at") >= 0, F.expr("sequence(at, at + n - 1)")).alias("at"),
-        "items",
-    )
-    # Overlapping windows and items repeat; both are merged for each document.
-    out = found.groupBy("_row").agg(
-        F.first("_doc", ignorenulls=True).alias("_doc"),
-        F.max("n_words").alias("n_words"),
-        F.collect_set("at").alias("at"),
-        F.collect_set("items").alias("items"),
-    )
-    return out.select("_row", "_doc", "n_words", F.sort_array(F.array_distinct(F.flatten("at"))).alias("hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"))
+    own = F.col("at") < 0
+    found = found.select("_row", F.when(own, F.col("_doc")).alias("_doc"), F.when(own, F.size("_w")).cast("long").alias("n_words"), "at", F.when(~own, F.col("n")).alias("n"), F.when(~own, F.col("window")).alias("window"))
+    return stored(found, "hits"), grams
+
+
+def _along() -> WindowSpec:
+    return Window.partitionBy("_row").orderBy("at", "n", "window")
+
+
+def _reach() -> Column:
+    """Place behind the last word that earlier hits of the row cover."""
+    return F.coalesce(F.max(F.col("at") + F.col("n")).over(_along().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def covered(found: DataFrame) -> DataFrame:
+    """_row, _doc, n_words and n_hit, the number of words inside any hit, for each row of the documents."""
+    fresh = F.greatest(F.col("at") + F.col("n") - F.greatest("at", "_reach"), F.lit(0))
+    each = found.withColumn("_reach", _reach()).withColumn("_fresh", F.when(F.col("at") >= 0, fresh).otherwise(0))
+    return each.groupBy("_row").agg(F.first("_doc", ignorenulls=True).alias("_doc"), F.max("n_words").alias("n_words"), F.sum("_fresh").cast("long").alias("n_hit"))
+
+
+def items_of(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """_row and its items, sorted as strings; rows without any are left out. An item with a null id adds none."""
+    named = windows.select("window", F.explode("items").alias("item"))
+    held = found.filter("at >= 0").select("_row", "window").distinct().join(named, "window")
+    return held.groupBy("_row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def runs_of(found: DataFrame) -> DataFrame:
+    """_doc and the runs of hit words (a to b - 1, in order) of each row that has some."""
+    hit = found.filter("at >= 0").withColumn("_reach", _reach()).withColumn("_new", (F.col("at") > F.col("_reach")).cast("int"))
+    hit = hit.withColumn("_run", F.sum("_new").over(_along().rowsBetween(Window.unboundedPreceding, 0)))
+    runs = hit.groupBy("_row", "_run").agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("n")).alias("b"))
+    runs = runs.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
+    return found.filter("at < 0").select("_row", "_doc").join(runs, "_row").select("_doc", "runs")
+
+
+def _identified(documents: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text: rows that agree in the first and the last share their fate."""
+    return documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"), "text")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, mode: str = "document", window: int = WINDOW) -> DataFrame:
     """documents without contaminated rows (mode "document"), or with the hit words taken out (mode "span").
 
     In mode "span" each run of hit words goes with the characters between them and becomes one
-    space. A text without a hit is left alone, nulls included. Rows that share a doc_id share
-    their fate; a null doc_id is one of them.
+    space. A text without a hit is left alone, nulls included. Repeated rows are
+    treated alike; a null doc_id is one like others. Columns as they came.
     """
-    if mode == "span":
-        return _without_spans(documents, benchmark, window)
-    bad = hits(documents.select("doc_id", "text"), benchmark, window).filter(F.size("hit") > 0).select(F.col("_doc.doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    with scratch(documents.sparkSession):
+        found, _ = hits(_identified(documents), benchmark, window)
+        if mode == "span":
+            cuts = runs_of(found).groupBy(F.col("_doc.doc_id").alias("_bad"), F.col("_doc._key").alias("_hash")).agg(F.first("runs").alias("_runs"))
+            cuts = stored(cuts, "cuts", keep=True)
+        else:
+            bad = found.groupBy("_row").agg(F.first("_doc", ignorenulls=True).alias("_doc"), F.max("at").alias("at")).filter("at >= 0")
+            # Its size is known once it is stored, and Spark broadcasts it only below its threshold.
+            bad = stored(bad.select(F.col("_doc.doc_id").alias("_bad"), F.col("_doc._key").alias("_hash")).distinct(), "bad", keep=True)
+    if mode != "span":
+        return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad"]) & (key == bad["_hash"]), "left_anti")
+    joined = documents.join(cuts, documents["doc_id"].eqNullSafe(cuts["_bad"]) & (key == cuts["_hash"]), "left")
+    # A part is what lies before a word, and the word; the last one is what follows the last word.
+    parts = F.regexp_extract_all("text", F.lit(r"([^0-9A-Za-z\x{80}-\x{10FFFF}]*)([0-9A-Za-z\x{80}-\x{10FFFF}]+|$)"), F.lit(0))
+    runs = F.col("_runs")
 
+    def between(p: Column, i: Column) -> Column:
+        """What stays before run i, behind the run before it."""
+        start = F.coalesce(F.get(runs["b"], i - 1), F.lit(0))
+        stop = F.coalesce(F.get(runs["a"], i), F.size(p))
+        before = F.regexp_replace(F.coalesce(F.get(p, stop), F.lit("")), r"[0-9A-Za-z\x{80}-\x{10FFFF}]+$", "")
+        return F.concat(F.array_join(F.slice(p, start + 1, F.greatest(stop - start, F.lit(0))), ""), before)
 
-def _without_spans(documents: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    cuts = hits(documents.select("doc_id", "text"), benchmark, window).filter(F.size("hit") > 0)
-    cuts = cuts.groupBy(F.col("_doc.doc_id").alias("_bad")).agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("_hit"))
-    # Parts alternate: what lies between words, then a word; a word is kept unless it is hit.
-    joined = documents.join(cuts, documents["doc_id"].eqNullSafe(cuts["_bad"]), "left")
-    parts = F.regexp_extract_all("text", F.lit(r"([^0-9A-Za-z\x{80}-\x{10FFFF}]*)([0-9A-Za-z\x{80}-\x{10FFFF}]+|$)"), F.lit(0))
-    kept = _let(parts, lambda p: F.array_join(F.transform(p, lambda x, i: F.when(F.array_contains("_hit", i), F.lit(" ")).otherwise(x)), ""))
-    text = F.when(F.col("_hit").isNull(), F.col("text")).otherwise(kept).alias("text")
+    kept = _let(parts, lambda p: F.array_join(F.transform(F.sequence(F.lit(0), F.size(runs)), lambda i: between(p, i)), " "))
+    text = F.when(runs.isNull(), F.col("text")).otherwise(kept).alias("text")
     return joined.select(*[text if c == "text" else documents[c] for c in documents.columns])
 
 
 def op3(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = hits(documents.select("doc_id", "text"), benchmark)
-    return found.select(
-        F.col("_doc.doc_id").alias("doc_id"),
-        "n_words",
-        F.size("hit").cast("long").alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.size("hit") > 0).alias("contaminated"),
-    )
+    """One row for each row of documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null and empty texts, and those without words, have no hits; items that share a window all
+    count; repeated rows each have a row; an empty benchmark hits nothing. Texts are read whole.
+    Columns beyond doc_id and text, and item_id and text, are not read.
+    """
+    with scratch(documents.sparkSession):
+        found, windows = hits(documents.select("doc_id", "text"), benchmark.select("item_id", "text"))
+        out = covered(found).join(items_of(found, windows), "_row", "left").select(
+            F.col("_doc.doc_id").alias("doc_id"),
+            "n_words",
+            "n_hit",
+            F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
+            F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
+            (F.col("n_hit") > 0).alias("contaminated"),
+        )
+        return stored(out, "contamination", keep=True)
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import kernel as K
-from cairn.llm.common import id_crc, small_batches
+from cairn.llm.common import id_crc, scratch, small_batches, stored
 
 #: Buckets of trigrams, and the slices by which their counts are shuffled and summed.
 BUCKETS, SLICES = 1 << 15, 16
@@ -126,10 +126,11 @@ class LanguageModel:
 
 def fit(training: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Counts over all rows of training with a non-null lang; texts may be null or empty."""
-    small_batches(training.sparkSession)
     rows = training.filter(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     parts = rows.mapInArrow(count_trigrams, "lang string, slice int, counts binary")
-    total = parts.groupBy("lang", "slice").applyInPandas(_sum_slices, "lang string, slice int, counts binary").collect()
+    with small_batches(training.sparkSession):
+        # A row for each language and slice; a language that occurs has 256 KB of counts on the driver.
+        total = parts.groupBy("lang", "slice").applyInPandas(_sum_slices, "lang string, slice int, counts binary").collect()
     langs = sorted({r["lang"] for r in total})
     counts = np.zeros((len(langs), BUCKETS))
     step = BUCKETS // SLICES
@@ -187,17 +188,16 @@ def identify_batches(batches: Iterator[pa.RecordBatch], model: LanguageModel, co
 
 
 def identify(rows: DataFrame, model: LanguageModel, *keep: Column | str, text: str = "text") -> DataFrame:
-    """The columns `keep` of each row with lang_pred, score, ambiguous and has_letter.
+    """Stored: the columns `keep` of each row with lang_pred, score, ambiguous and has_letter.
 
     lang_pred is "und", with score 0 and ambiguous, where the text is null or has no letter, and
     everywhere where the model knows no language.
     """
-    small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     rows = rows.select(*keep, F.col(text).alias("_text"))
     at = len(rows.columns) - 1
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean").add("has_letter", "boolean")
-    return rows.mapInArrow(lambda it: identify_batches(it, shared.value, at), schema)
+    return stored(rows.mapInArrow(lambda it: identify_batches(it, shared.value, at), schema), "identified")
 
 
 def held_out() -> Column:
@@ -209,7 +209,12 @@ def learn(documents: DataFrame) -> LanguageModel:
 
 
 def op5(documents: DataFrame) -> DataFrame:
-    """A null doc_id is not held out; without any training row every text is "und"."""
+    """One row for each row of documents: doc_id, held_out, lang_pred, score, ambiguous.
+
+    A null doc_id is not held out; a null text and one without a letter, the empty one too, are
+    "und" with score 0; without any training row every text is "und". Repeated rows each have a
+    row, and texts are read whole. Columns beyond doc_id, text and lang are not read.
+    """
     return identify(documents, learn(documents), F.col("doc_id"), held_out().alias("held_out")).drop("has_letter")
 
 
@@ -218,7 +223,11 @@ def keep_identified(documents: DataFrame) -> DataFrame:
 
     A text with a letter stays whatever lang_pred is, so that a table without any label loses none.
     An ambiguous text stays; its language is a matter of doubt, not its being a text.
-    Columns and rows that stay are as they came, repeated rows too.
+    Columns and rows that stay are as they came, repeated rows too. Rows go by doc_id and a hash
+    of the text, so that texts don't travel: rows with the same of both have the same verdict.
     """
-    found = identify(documents, learn(documents), F.struct(*documents.columns).alias("_doc"))
-    return found.filter("has_letter").select("_doc.*")
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    with scratch(documents.sparkSession):
+        found = identify(documents, learn(documents), F.col("doc_id").alias("_id"), key.alias("_key"))
+        gone = stored(found.filter("NOT has_letter").select("_id", "_key").distinct(), "rejected", keep=True)
+    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_id"]) & (key == gone["_key"]), "left_anti")

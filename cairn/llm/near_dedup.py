@@ -6,11 +6,11 @@ value of the first full one on its own random walk. 64 bands of 8 slots give the
 at the threshold of 0.8 shares none with a chance of 1 in 100,000, and unrelated texts hardly ever
 share one however many there are.
 Edges of a bucket form a star. Its centre is the member that collides most over all bands, the
-likely original of a family of copies. Each edge is confirmed on the full sets. A family is what
-edges join, confirmed or not. Where confirmed links leave a family in several components, pairs
-across them are held against each other inside tasks, by sketches and then by the full sets, in
-blocks of bounded bytes; only links leave a task, so that the star loses none and no list of
-pairs is formed. Components come from labels that spread along links.
+likely original of a family of copies. Each edge is confirmed on the full sets. Where confirmed
+links leave the rest of a bucket in several components, its sets are held against each other
+inside tasks, by sketches and then by the full sets, in pairs of blocks of bounded bytes that share
+such a bucket; only links leave a task, so that the star loses none and no list of pairs is
+formed. Components come from labels that spread along links.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import kernel as K
-from cairn.llm.common import in_filter, membership_filter, small_batches, stored
+from cairn.llm.common import in_filter, membership_filter, scratch, stored
 
 SLOTS, BANDS = 512, 64
 ROWS = SLOTS // BANDS
 #: Bytes of sets in a block, a task holding two; slots of the first look at sketches, and how far
 #: below the threshold an estimate may be to go on: five standard deviations or more.
-BLOCK, LOOK, LOOK_SLACK, SLACK = 4 << 20, 128, 0.18, 0.11
+BLOCK, LOOK, LOOK_SLACK, SLACK = 2 << 20, 128, 0.18, 0.11
+#: Rows of an Arrow batch: full sets are long.
+ROWS_OF_BATCH = 1024
 
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -159,7 +161,7 @@ def full_sets(wanted: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Stored: sid and members of the sets whose numbers are in wanted (and a few more, if it is very large)."""
     bits = wanted.sparkSession.sparkContext.broadcast(membership_filter(wanted, "sid"))
     found = texts.mapInArrow(lambda it: _sets(it, n, bits.value), "sid long, members binary")
-    return stored(found.groupBy("sid").agg(F.first("members").alias("members")), "sets")
+    return stored(found.groupBy("sid").agg(F.first("members").alias("members")), "sets", rows=ROWS_OF_BATCH)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -167,7 +169,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x, y = sets.select(F.col("sid").alias("a"), F.col("members").alias("x")), sets.select(F.col("sid").alias("b"), F.col("members").alias("y"))
     # Members first: a centre has many edges, and Spark splits that side of the second join.
     joined = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
-    return stored(joined.mapInArrow(lambda it: _confirmed(it, percent), "a long, b long"), "links")
+    return stored(joined.mapInArrow(lambda it: _confirmed(it, percent), "a long, b long"), "links", rows=ROWS_OF_BATCH)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -177,22 +179,24 @@ def components(links: DataFrame) -> DataFrame:
     labels; what lies within one label goes, so that rounds end after a logarithm of the nodes and
     a star is done in one.
     """
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct(), "edges")
-    nodes = None
-    while True:
-        near = stored(edges.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("label")), "near")
-        hop = near.select(F.col("a").alias("label"), F.col("label").alias("next"))
-        level = stored(near.join(hop, "label").select("a", F.col("next").alias("label")), "level")
-        if nodes is None:
-            nodes = level.withColumnRenamed("a", "node")
-        else:
-            nodes = nodes.join(level.withColumnRenamed("label", "next"), nodes["label"] == level["a"], "left").select("node", F.coalesce("next", "label").alias("label"))
-        nodes = stored(nodes, "nodes")
-        low = edges.join(level, "a").select("b", F.col("label").alias("la"))
-        edges = low.join(level.withColumnRenamed("a", "b"), "b").filter("la != label").select(F.col("la").alias("a"), F.col("label").alias("b")).distinct()
-        edges = stored(edges, "edges")
-        if not edges.limit(1).count():
-            return nodes
+    with scratch(links.sparkSession):
+        edges = stored(links.select("a", "b").union(links.select("b", "a")).filter("a != b").distinct(), "edges")
+        nodes = None
+        while True:
+            near = edges.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("label"))
+            hop = near.select(F.col("a").alias("label"), F.col("label").alias("next"))
+            level = stored(near.join(hop, "label").select("a", F.col("next").alias("label")), "level")
+            low = edges.join(level, "a").select("b", F.col("label").alias("la"))
+            edges = low.join(level.withColumnRenamed("a", "b"), "b").filter("la != label").select(F.col("la").alias("a"), F.col("label").alias("b")).distinct()
+            edges = stored(edges, "edges")
+            last = not edges.limit(1).count()
+            if nodes is None:
+                nodes = level.withColumnRenamed("a", "node")
+            else:
+                nodes = nodes.join(level.withColumnRenamed("label", "next"), nodes["label"] == level["a"], "left").select("node", F.coalesce("next", "label").alias("label"))
+            if last:
+                return stored(nodes, "nodes", keep=True)
+            nodes = stored(nodes, "nodes")
 
 
 def _links(rows: list[tuple], percent: int) -> pa.RecordBatch | None:
@@ -234,29 +238,64 @@ def _across_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
         yield found
 
 
-def across(star: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Stored: links that the stars missed, between components of one family."""
-    named = star.select(F.col("a").alias("node")).union(star.select("b")).distinct().join(labels, "node", "left")
-    named = stored(named.select(F.col("node").alias("sid"), F.coalesce("label", "node").alias("label")), "named")
-    # Families of what is linked already: edges between labels, each once.
-    one, two = (named.select(F.col("sid").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
-    between = stored(star.join(one, "a").join(two, "b").filter("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "between")
-    families = components(between).select(F.col("node").alias("label"), F.col("label").alias("family"))
-    named = named.join(families, "label")
-    mixed = named.groupBy("family").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    named = stored(named.join(mixed.filter("n > 2 AND low != high").select("family"), "family"), "mixed")
-    sets = full_sets(named.select("sid"), texts, n)
-    one = sketches.join(named.select("sid"), "sid").groupBy("sid").agg(F.first("sketch").alias("sketch"))
-    rows = stored(named.join(sets, "sid").join(one, "sid"), "family_sets")
-    size = rows.groupBy("family").agg(F.ceil(F.sum(F.octet_length("members") + SLOTS) / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(size, "family")
-    # A family of m blocks becomes m(m+1)/2 groups; a row of block i goes to those with i in them.
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(low == high, F.lit("B")).when(F.col("own") == low, F.lit("L")).otherwise(F.lit("R"))
-    rows = rows.select(F.concat_ws(":", "family", low, high).alias("group"), side.alias("side"), "sid", "label", "sketch", "members")
-    rows = rows.repartition("group").sortWithinPartitions("group", "side")
-    return stored(rows.mapInArrow(lambda it: _across_batches(it, percent), "a long, b long"), "missed")
+def _blocks(homes: DataFrame) -> DataFrame:
+    """homes (sid, home, size) with block: sets of one home together, in blocks of about BLOCK bytes.
+
+    Homes are hashes, so that ranges of them are dealt evenly; the sets of a home of more than
+    half a block are dealt out over blocks of its own.
+    """
+    total = homes.agg(F.sum("size").alias("s")).collect()[0]["s"] or 0
+    ranges = max(1, -(-total // BLOCK))
+    where = F.least(F.floor((F.col("home") / 2.0**64 + 0.5) * ranges), F.lit(ranges - 1)).cast("string")
+    large = homes.groupBy("home").agg(F.sum("size").alias("s")).filter(F.col("s") > BLOCK // 2).select("home", F.ceil(2 * F.col("s") / BLOCK).alias("parts"))
+    part = F.concat_ws("/", "home", F.pmod(F.xxhash64("sid"), "parts"))
+    return homes.join(large, "home", "left").select("sid", F.when(F.col("parts").isNull(), where).otherwise(part).alias("block"))
+
+
+def across(members: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Stored: links that the stars missed. members (key, sid): the buckets without their centres.
+
+    A link can be missing only between members of one bucket with different labels. The sets of
+    such buckets are dealt into blocks, neighbours in a bucket together, and two blocks meet if a
+    bucket has members of different labels in them: the work grows with the pairs of blocks that
+    share a bucket, not with the square of what edges join to a family.
+    """
+    with scratch(members.sparkSession):
+        named = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
+        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+        named = stored(named.join(mixed, "key"), "mixed")
+        one = sketches.join(named.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("sketch").alias("sketch"))
+        home = named.groupBy("sid").agg(F.min("key").alias("home"), F.first("label").alias("label"))
+        rows = stored(home.join(sets, "sid").join(one, "sid"), "rows")
+        blocks = stored(_blocks(rows.select("sid", "home", (F.octet_length("members") + SLOTS).alias("size"))), "blocks")
+        # For each bucket its blocks with the least and largest label there; then pairs of them.
+        parts = named.join(blocks, "sid").groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        lists = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("block", "low", "high"))).alias("p"))
+        pairs = lists.select(F.posexplode("p").alias("i", "x"), "p").select("x", F.explode(F.expr("slice(p, i + 1, size(p) - i)")).alias("y"))
+        pairs = pairs.filter("NOT (x.low = x.high AND y.low = y.high AND x.low = y.low)").select(F.col("x.block").alias("low"), F.col("y.block").alias("high")).distinct()
+        pairs = stored(pairs.select(F.concat_ws(" ", "low", "high").alias("group"), "low", "high"), "pairs")
+        same = pairs.filter("low = high").select("group", F.lit("B").alias("side"), F.col("low").alias("block"))
+        other = pairs.filter("low != high")
+        to = same.unionByName(other.select("group", F.lit("L").alias("side"), F.col("low").alias("block"))).unionByName(other.select("group", F.lit("R").alias("side"), F.col("high").alias("block")))
+        rows = rows.join(blocks, "sid").join(to, "block").select("group", "side", "sid", "label", "sketch", "members")
+        rows = rows.repartition("group").sortWithinPartitions("group", "side")
+        return stored(rows.mapInArrow(lambda it: _across_batches(it, percent), "a long, b long"), "missed", keep=True, rows=ROWS_OF_BATCH)
+
+
+def _least_ids(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (doc_id, n_shingles, sid) with component_id.
+
+    Sets with over a thousandth of all rows, and over a hundred, are looked up in a broadcast table,
+    of a thousand rows at most; the others by a join in which no key has more than that.
+    """
+    by_set = rows.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    named = stored(by_set.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", "n", F.coalesce("label", "sid").alias("label")), "named")
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    found = stored(named.join(least, "label").select("sid", "n", "component_id"), "found")
+    many = max(100, (found.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0) // 1000)
+    hot = F.broadcast(found.filter(F.col("n") > many).select("sid", "component_id"))
+    cold = found.filter(F.col("n") <= many).select("sid", "component_id")
+    return rows.join(hot, "sid").unionByName(rows.join(hot, "sid", "left_anti").join(cold, "sid")).select("doc_id", "n_shingles", "component_id")
 
 
 def near_groups(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -266,44 +305,47 @@ def near_groups(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     component_id is the smallest doc_id that links and equal sets lead to. Null and empty texts,
     and those without words, have no shingles and are linked with nothing. Null doc_ids take part and
     come last; a group of them alone has a null component_id and keeps its rows. Rows that repeat a
-    kept doc_id are kept with it. No limit on buckets, partners or families.
+    kept doc_id are kept with it. No limit on buckets, partners or groups. Columns beyond doc_id
+    and text are not read.
     """
-    spark = documents.sparkSession
-    small_batches(spark, 1024)
-    docs = documents.select("doc_id", F.col("text").alias("_text"))
-    texts = docs.select("_text")
-    rows = stored(docs.mapInArrow(lambda it: _sketches(it, n), "doc_id long, n_shingles long, sid long, bands array<long>, sketch binary"), "rows")
-    banded = rows.filter("sid IS NOT NULL").select("sid", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low != high").select("key")
-    members = stored(banded.join(buckets, "key").distinct(), "members")
-
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    scores = members.join(sizes, "key").groupBy("sid").agg(F.sum("n").alias("score"))
-    centres = members.join(scores, "sid").groupBy("key").agg(F.max(F.struct("score", "sid")).alias("top")).select("key", F.col("top.sid").alias("centre"))
-    # The centre is side a of an edge here, whatever its number.
-    star = stored(members.join(centres, "key").filter("sid != centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct(), "star")
-    ends = star.select(F.col("a").alias("sid")).union(star.select("b"))
-    links = confirm(star, full_sets(ends, texts, n), percent)
-    labels = components(links)
-    missed = across(star, labels, rows.select("sid", "sketch"), texts, n, percent)
-    if missed.limit(1).count():
-        labels = components(links.unionByName(missed))
-
-    known = rows.filter("sid IS NOT NULL").select("doc_id", "n_shingles", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    known = known.select("doc_id", "n_shingles", F.coalesce("label", "sid").alias("label"))
-    least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    grouped = known.join(least, "label").select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("sid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    with scratch(documents.sparkSession):
+        docs = documents.select("doc_id", F.col("text").alias("_text"))
+        rows = stored(docs.mapInArrow(lambda it: _sketches(it, n), "doc_id long, n_shingles long, sid long, bands array<long>, sketch binary"), "rows", rows=ROWS_OF_BATCH)
+        banded = rows.filter("sid IS NOT NULL").select("sid", F.explode("bands").alias("key"))
+        buckets = banded.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low != high").select("key")
+        members = stored(banded.join(buckets, "key").distinct(), "members")
+        sets = full_sets(members.select("sid").distinct(), docs.select("_text"), n)
+
+        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+        scores = members.join(sizes, "key").groupBy("sid").agg(F.sum("n").alias("score"))
+        centres = members.join(scores, "sid").groupBy("key").agg(F.max(F.struct("score", "sid")).alias("top")).select("key", F.col("top.sid").alias("centre"))
+        rest = stored(members.join(centres, "key").filter("sid != centre"), "rest")
+        # The centre is side a of an edge here, whatever its number.
+        links = confirm(rest.select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct(), sets, percent)
+        labels = components(links)
+        missed = across(rest.select("key", "sid"), labels, rows.select("sid", "sketch"), sets, percent)
+        if missed.limit(1).count():
+            labels = components(links.unionByName(missed))
+
+        grouped = _least_ids(rows.filter("sid IS NOT NULL").select("doc_id", "n_shingles", "sid"), labels)
+        alone = rows.filter("sid IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return stored(grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "groups", keep=True)
 
 
 def near_dedup(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """documents with one doc_id of each near-duplicate group; rows and columns that stay are as they came."""
-    groups = near_groups(documents.select("doc_id", "text"), n, percent)
-    gone = groups.groupBy("doc_id").agg(F.max("kept").alias("any")).filter("NOT any").select(F.col("doc_id").alias("_gone"))
-    gone = stored(gone, "gone")
+    """documents with one doc_id of each near-duplicate group, the smallest; rows and columns that stay are as they came.
+
+    Null, empty and wordless texts stay. Rows of one doc_id stay or go together; a null doc_id stays
+    if its group has no other.
+    """
+    with scratch(documents.sparkSession):
+        groups = near_groups(documents.select("doc_id", "text"), n, percent)
+        gone = groups.groupBy("doc_id").agg(F.max("kept").alias("any")).filter("NOT any").select(F.col("doc_id").alias("_gone"))
+        # Its size is known once it is stored, and Spark broadcasts it only below its threshold.
+        gone = stored(gone, "gone", keep=True)
     return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def op9(documents: DataFrame) -> DataFrame:
+    """near_groups() with two-word shingles, for all rows of documents."""
     return near_groups(documents, n=2)

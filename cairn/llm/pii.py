@@ -1,10 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base patterns give the seed entities. The words before an entity are a lexical pattern; the
-pattern-instance graph links each pattern with each distinct value that stands in it, seeds and
-unknown identifier-like tokens alike. Scores go round: a pattern is worth the mean score of its
-instances, held down while they are few, and an unknown instance the mean worth of its patterns.
-Tokens that stand in a pattern of high worth become spans.
+Base patterns give the seed entities. The words around an entity are its lexical patterns: one to
+three before it, one or two after it, and one on each side. The pattern-instance graph links each
+pattern with each distinct value that stands in it, seeds and unknown identifier-like tokens
+alike. Rounds go over the whole graph: a pattern is worth the share of known values among its
+own, held down while they are few; an unknown value in a pattern of high worth and enough known
+values becomes known itself and takes part in the next round. Tokens of known values that stand
+in a pattern of high worth become spans.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import spans
-from cairn.llm.common import stored
+from cairn.llm.common import scratch, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The added kind comes after the base kinds.
@@ -33,10 +35,10 @@ _WORDS = re.compile(r"[^\W\d_]+")
 # Its last alternative holds for each token that is identifier_like: of six characters or more a third are two digits at least.
 _HINT = r"@[A-Za-z0-9]|@-|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]([ -]?[0-9]){11}|\+[0-9][ ().0-9-]+[0-9]|[0-9][A-Za-z0-9._/-]*[0-9]"
 
-#: Characters before an entity that its pattern is read from, and words that it has at most.
-CONTEXT, WORDS = 48, 2
-#: Rounds of scoring, instances that a pattern is held down by, worth and seeds that a good pattern has at least.
-ROUNDS, DAMPING, GOOD, SEEDS = 4, 0.5, 0.75, 3
+#: Characters around an entity that its patterns are read from, and words before and after it that they have at most.
+CONTEXT, BEFORE, AFTER = 96, 3, 2
+#: Rounds of scoring at most, what a pattern is held down by, and the worth and the known values that a good one has at least.
+ROUNDS, DAMPING, GOOD, SEEDS = 8, 0.5, 0.8, 3
 
 
 def luhn(digits: str) -> bool:
@@ -75,12 +77,33 @@ def find_base(text: str) -> list[spans.Span]:
     return out
 
 
-def pattern_before(text: str, start: int) -> str:
-    """The last words before a place, in lower case, with the sign next to it; empty without a word."""
-    left = text[max(0, start - CONTEXT) : start].rpartition("\n")[2]
-    words = _WORDS.findall(left)[-WORDS:]
-    tail = left.rstrip()[-1:] if words else ""
-    return " ".join(words).lower() + (tail if tail and not tail.isalnum() else "") if words else ""
+def _sign(x: str) -> str:
+    return x if x and not x.isalnum() else ""
+
+
+def patterns_around(text: str, start: int, end: int) -> list[str]:
+    """Patterns of a place: words of its line in lower case, with the sign next to it; none without a word.
+
+    A word that CONTEXT cuts is not a part of any.
+    """
+    low, high = max(0, start - CONTEXT), end + CONTEXT
+    left, right = text[low:start], text[end:high]
+    if low and text[low - 1].isalpha():
+        left = left.lstrip(_letters_of(left))
+    if high < len(text) and text[high].isalpha():
+        right = right.rstrip(_letters_of(right))
+    left, right = left.rpartition("\n")[2].rstrip(), right.partition("\n")[0].lstrip()
+    before, after = ([w.lower() for w in _WORDS.findall(x)] for x in (left, right))
+    before_sign, after_sign = _sign(left[-1:]), _sign(right[:1])
+    out = [f"{' '.join(before[-k:])}{before_sign} _" for k in range(1, min(BEFORE, len(before)) + 1)]
+    out += [f"_ {after_sign}{' '.join(after[:k])}" for k in range(1, min(AFTER, len(after)) + 1)]
+    if before and after:
+        out.append(f"{before[-1]}{before_sign} _ {after_sign}{after[0]}")
+    return out
+
+
+def _letters_of(x: str) -> str:
+    return "".join({c for c in x if c.isalpha()})
 
 
 def identifier_like(token: str) -> bool:
@@ -94,8 +117,8 @@ def find_personal(text: str) -> tuple[list[spans.Span], list[dict]]:
     out = []
 
     def add(a: int, b: int, seed: bool) -> None:
-        if pattern := pattern_before(text, a):
-            out.append({"start": a, "end": b, "value": spans.hash64(text[a:b].lower()), "pattern": spans.hash64(pattern), "base": seed})
+        if found := patterns_around(text, a, b):
+            out.append({"start": a, "end": b, "value": spans.hash64(text[a:b].lower()), "patterns": [spans.hash64(p) for p in found], "base": seed})
 
     for a, b in taken:
         add(a, b, True)
@@ -108,32 +131,45 @@ def find_personal(text: str) -> tuple[list[spans.Span], list[dict]]:
     return base, out
 
 
-def score_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, worth and seeds (distinct seed values) from rows of pattern, value and base."""
-    graph = stored(occurrences.groupBy("pattern", "value").agg(F.max("base").alias("seed")), "graph")
-    score = graph.withColumn("score", F.col("seed").cast("double"))
-    for i in range(rounds):
-        worth = score.groupBy("pattern").agg((F.sum("score") / (F.count("*") + DAMPING)).alias("worth"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-        if i + 1 == rounds:
-            return stored(worth, "worth")
-        known = graph.join(worth.select("pattern", "worth"), "pattern")
-        value = known.groupBy("value").agg(F.max("seed").alias("is_seed"), F.avg("worth").alias("mean"))
-        score = stored(graph.join(value, "value").select("pattern", "value", "seed", F.when(F.col("is_seed"), 1.0).otherwise(F.col("mean")).alias("score")), "scores")
-    raise ValueError("rounds is 1 or more")
+def good_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Stored: the patterns of high worth, from rows of pattern, value and base (is the value a seed there).
+
+    Each round counts the known values of each pattern anew; it ends early when none is learned.
+    """
+    with scratch(occurrences.sparkSession):
+        graph = stored(occurrences.groupBy("pattern", "value").agg(F.max("base").alias("seed")), "graph")
+        known = stored(graph.filter("seed").select("value").distinct(), "known")
+        n = known.count()
+        good = stored(known.select(F.col("value").alias("pattern")).limit(0), "good", keep=True)
+        for _ in range(rounds if n else 0):
+            marked = graph.join(known.withColumn("known", F.lit(1)), "value", "left")
+            worth = marked.groupBy("pattern").agg(F.count("known").alias("known"), F.count("*").alias("n"))
+            good = stored(worth.filter((F.col("known") >= SEEDS) & (F.col("known") / (F.col("n") + DAMPING) >= GOOD)).select("pattern"), "good", keep=True)
+            known = stored(known.union(graph.join(good, "pattern").select("value")).distinct(), "known")
+            was, n = n, known.count()
+            if n == was:
+                break
+        return good
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """One row for each row of documents: doc_id, n_<kind>, base_sha256, spans, n_found.
+    """Stored: one row for each row of documents: doc_id, n_<kind>, base_sha256, spans, n_base, n_found.
 
     Null and empty texts have no spans. Patterns are scored over the whole corpus, each distinct
-    value in a pattern once, so that copies of a document do not add to it.
+    value in a pattern once, so that copies of a document do not add to it. An unknown token is
+    found where it stands in a pattern that is good in the last round.
     """
-    found = spans.find(documents, KINDS, _HINT, find_personal, F.col("doc_id"))
-    each = spans.candidates(found)
-    good = score_patterns(each).filter((F.col("worth") >= GOOD) & (F.col("seeds") >= SEEDS)).select("pattern")
-    added = each.filter("NOT base").join(good, "pattern").select("row", "start", F.lit(len(KINDS)).alias("rank"), F.lit(FOUND).alias("kind"), "end", F.lit(1).cast("long").alias("n_found"))
-    return spans.with_added(found, added, "n_found").select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_found")
+    with scratch(documents.sparkSession):
+        found = spans.find(documents, KINDS, _HINT, find_personal, F.col("doc_id"))
+        each = spans.candidates(found).select("row", "start", "end", "value", "base", F.explode("patterns").alias("pattern"))
+        good = good_patterns(each.select("pattern", "value", "base"))
+        added = each.filter("NOT base").join(good, "pattern", "left_semi").select("row", "start", "end").distinct()
+        added = added.select("row", "start", F.lit(len(KINDS)).alias("rank"), F.lit(FOUND).alias("kind"), "end", F.lit(1).cast("long").alias("n_found"))
+        n_base = sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long"))
+        out = spans.with_added(found, added, "n_found").select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", n_base.alias("n_base"), "n_found")
+        return stored(out, "personal", keep=True)
 
 
 def op10(documents: DataFrame) -> DataFrame:
+    """scan() of all rows. Repeated rows each have a row; columns beyond doc_id and text are not read."""
     return scan(documents)

@@ -3,9 +3,10 @@
 Statistics of a text (shares of character classes, lengths, repetition of words, word pairs and
 lines) are scaled to unit variance. cos(W x + b) with Gaussian W approximates a Gaussian kernel
 on them, so that ridge regression on these features is kernel ridge regression. Its normal
-equations are sums over rows: each partition adds up its own, and Spark adds up the partitions
-row by row of the matrix. Raw scores are made probabilities by isotonic regression over a
-histogram with a fixed number of bins.
+equations are sums over rows: each partition adds up its own for each of a few folds, and Spark
+adds up the partitions row by row of the matrix. Raw scores are made probabilities by isotonic
+regression over a histogram with a fixed number of bins; a row counts there with the score of the
+model that is fitted without its fold.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import kernel as K
-from cairn.llm.common import id_crc, small_batches, stored
+from cairn.llm.common import id_crc, scratch, small_batches, stored
 
 STATISTICS = (
     "bytes", "upper", "digits", "spaces", "lines", "wide", "bars", "bangs", "signs", "stops", "other",
     "word_length", "word_spread", "long_words", "distinct_words", "echoed_words", "distinct_pairs", "distinct_lines", "line_words", "capital_words",
 )
-#: Random features, kernel width (in standard deviations, for each statistic), ridge in rows, bins of raw scores.
-FEATURES, WIDTH, RIDGE, BINS = 192, 5.0, 0.3, 512
+#: Random features, kernel width (in standard deviations, for each statistic), ridge in rows, bins of raw scores, folds.
+FEATURES, WIDTH, RIDGE, BINS, FOLDS = 256, 8.0, 0.03, 512, 4
 _LOW, _HIGH = -0.75, 1.75
 
 _CLASS = np.full(256, 8, np.uint8)
@@ -92,7 +93,6 @@ def _measure(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Reco
 
 def measure(rows: DataFrame, *keep, text: str = "text") -> DataFrame:
     """The columns `keep` of each row with its STATISTICS as floats; a null text counts as empty."""
-    small_batches(rows.sparkSession)
     rows = rows.select(*keep, F.col(text).alias("_text"))
     at = len(rows.columns) - 1
     schema = rows.drop("_text").schema
@@ -103,25 +103,29 @@ def measure(rows: DataFrame, *keep, text: str = "text") -> DataFrame:
 
 @dataclass
 class QualityModel:
+    """beta: weights of the features; without: a column of weights for each fold, fitted without it."""
+
     mean: np.ndarray
     scale: np.ndarray
     w: np.ndarray
     b: np.ndarray
     beta: np.ndarray
+    without: np.ndarray
     knots: np.ndarray
     values: np.ndarray
 
     def features(self, x: np.ndarray) -> np.ndarray:
         x = np.clip((x - self.mean) / self.scale, -6, 6)
-        z = np.empty((len(x), FEATURES + 1 + x.shape[1]))
+        z = np.ones((len(x), FEATURES + 1))
         z[:, :FEATURES] = np.sqrt(2 / FEATURES) * np.cos(x @ self.w + self.b)
-        z[:, FEATURES] = 1
-        z[:, FEATURES + 1 :] = x / 10  # what is linear need not be learned from waves
         return z
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.features(x) @ self.beta
 
+    def raw_without(self, x: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        return (self.features(x) @ self.without)[np.arange(len(x)), fold]
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(x), self.knots, self.values), 0, 1)
 
@@ -130,14 +134,23 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in STATISTICS]).astype(np.float64)
 
 
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
 def _normal_equations(batches: Iterator[pa.RecordBatch], model: QualityModel) -> Iterator[pa.RecordBatch]:
-    total = None
+    """Rows of Z^T [Z y] of the rows of a partition, for each fold."""
+    total = np.zeros((FOLDS, FEATURES + 1, FEATURES + 2))
+    seen = False
     for batch in batches:
-        z = model.features(_matrix(batch))
-        zy = np.column_stack([z, batch.column("y").to_numpy(zero_copy_only=False)])
-        total = z.T @ zy if total is None else total + z.T @ zy
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["i", "sums"])
+        z, fold = model.features(_matrix(batch)), _column(batch, "fold")
+        zy = np.column_stack([z, _column(batch, "y")])
+        for k in range(FOLDS):
+            total[k] += z[fold == k].T @ zy[fold == k]
+        seen = seen or len(batch) > 0
+    if seen:
+        at = np.arange(FOLDS * (FEATURES + 1), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([r.tobytes() for r in total.reshape(len(at), -1)], pa.binary())], ["i", "sums"])
 
 
 def _add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -149,13 +162,20 @@ def _add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 def _histogram(batches: Iterator[pa.RecordBatch], model: QualityModel) -> Iterator[pa.RecordBatch]:
     total = np.zeros((BINS, 2))
     for batch in batches:
-        at = np.clip((model.raw(_matrix(batch)) - _LOW) / (_HIGH - _LOW) * BINS, 0, BINS - 1).astype(np.int64)
-        y = batch.column("y").to_numpy(zero_copy_only=False)
-        total += np.column_stack([np.bincount(at, minlength=BINS), np.bincount(at, y, BINS)])
+        raw = model.raw_without(_matrix(batch), _column(batch, "fold"))
+        at = np.clip((raw - _LOW) / (_HIGH - _LOW) * BINS, 0, BINS - 1).astype(np.int64)
+        total += np.column_stack([np.bincount(at, minlength=BINS), np.bincount(at, _column(batch, "y"), BINS)])
     full = np.flatnonzero(total[:, 0])
     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(total[full, 0]), pa.array(total[full, 1])], ["bin", "n", "y"])
 
 
+def ridge(sums: np.ndarray) -> np.ndarray:
+    """Weights from Z^T [Z y]; the constant is hardly held down."""
+    penalty = np.full(len(sums), RIDGE)
+    penalty[FEATURES] = 1e-6
+    return np.linalg.solve(sums[:, :-1] + np.diag(penalty), sums[:, -1])
+
+
 def isotonic(n: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Least-squares non-decreasing means of bins with n rows and sums y (pool adjacent violators)."""
     blocks: list[list[float]] = []
@@ -168,32 +188,34 @@ def isotonic(n: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(training: DataFrame) -> QualityModel:
-    """A model from rows of STATISTICS with y of 0 or 1. Without any row all scores are 1/2."""
+    """A model from rows of STATISTICS with y of 0 or 1 and fold (0 to FOLDS - 1). Without any row all scores are 1/2."""
     spark = training.sparkSession
-    sums = training.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in STATISTICS for f in (F.avg, F.stddev_pop)]).collect()[0]
-    d, n = len(STATISTICS), sums["n"]
-    rng = np.random.default_rng(11)
-    model = QualityModel(
-        np.array([sums[f"avg_{c}"] or 0.0 for c in STATISTICS]),
-        np.maximum([sums[f"stddev_pop_{c}"] or 0.0 for c in STATISTICS], 1e-3),
-        rng.normal(0, 1 / WIDTH, (d, FEATURES)),
-        rng.uniform(0, 2 * np.pi, FEATURES),
-        np.zeros(FEATURES + 1 + d),
-        np.array([0.0]),
-        np.array([0.5]),
-    )
-    if not n:
-        return model
-    parts = training.mapInArrow(lambda it: _normal_equations(it, model), "i int, sums binary")
-    total = parts.groupBy("i").applyInPandas(_add, "i int, sums binary").collect()
-    a = np.zeros((FEATURES + 1 + d, FEATURES + 2 + d))
-    for r in total:
-        a[r["i"]] = np.frombuffer(r["sums"], np.float64)
-    ridge = np.full(len(a), RIDGE)
-    ridge[FEATURES] = 1e-6
-    model.beta = np.linalg.solve(a[:, :-1] + np.diag(ridge), a[:, -1])
-    fitted = spark.sparkContext.broadcast(model)
-    bins = training.mapInArrow(lambda it: _histogram(it, fitted.value), "bin int, n double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).toPandas().sort_values("bin")
+    with small_batches(spark):
+        sums = training.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in STATISTICS for f in (F.avg, F.stddev_pop)]).collect()[0]
+        d, n = len(STATISTICS), sums["n"]
+        rng = np.random.default_rng(11)
+        model = QualityModel(
+            np.array([sums[f"avg_{c}"] or 0.0 for c in STATISTICS]),
+            np.maximum([sums[f"stddev_pop_{c}"] or 0.0 for c in STATISTICS], 1e-3),
+            rng.normal(0, 1 / WIDTH, (d, FEATURES)),
+            rng.uniform(0, 2 * np.pi, FEATURES),
+            np.zeros(FEATURES + 1),
+            np.zeros((FEATURES + 1, FOLDS)),
+            np.array([0.0]),
+            np.array([0.5]),
+        )
+        if not n:
+            return model
+        parts = training.mapInArrow(lambda it: _normal_equations(it, model), "i int, sums binary")
+        total = np.zeros((FOLDS * (FEATURES + 1), FEATURES + 2))
+        for r in parts.groupBy("i").applyInPandas(_add, "i int, sums binary").collect():
+            total[r["i"]] = np.frombuffer(r["sums"], np.float64)
+        total = total.reshape(FOLDS, FEATURES + 1, FEATURES + 2)
+        whole = total.sum(0)
+        model.beta = ridge(whole)
+        model.without = np.column_stack([ridge(whole - part) for part in total])
+        fitted = spark.sparkContext.broadcast(model)
+        bins = training.mapInArrow(lambda it: _histogram(it, fitted.value), "bin int, n double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).toPandas().sort_values("bin")
     values = isotonic(bins["n"].to_numpy(), bins["y"].to_numpy())
     # Between the middles of blocks of equal value, scores go in a straight line, so that order is kept.
     centres = _LOW + (bins["bin"].to_numpy() + 0.5) * (_HIGH - _LOW) / BINS
@@ -210,15 +232,21 @@ def _score(batches: Iterator[pa.RecordBatch], model: QualityModel, keep: list[st
 
 
 def op2(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """A null doc_id is not held out and has no label; a row of labels without quality teaches nothing.
+    """One row for each row of documents: doc_id, held_out, score, predicted.
 
-    A document with several rows of labels, or a label with several rows, counts each time.
+    A null doc_id is not held out and has no label; a row of labels without quality teaches nothing.
+    A document with several rows of labels, or a label with several rows, counts each time. Null
+    texts are scored as empty ones, by their statistics; texts are read whole; without any label all
+    scores are 1/2. Columns beyond doc_id, text and quality are not read.
     """
     spark = documents.sparkSession
     held = F.coalesce(F.pmod(id_crc(), F.lit(4)) == 2, F.lit(False))
-    measured = stored(measure(documents, F.col("doc_id"), held.alias("held_out")), "statistics")
-    y = labels.filter(F.col("quality").isNotNull() & (F.pmod(id_crc(), F.lit(4)) != 2)).select("doc_id", F.col("quality").cast("double").alias("y"))
-    model = spark.sparkContext.broadcast(fit(stored(measured.filter("NOT held_out").join(y, "doc_id").select(*STATISTICS, "y"), "training")))
     keep = ["doc_id", "held_out"]
-    out = measured.mapInArrow(lambda it: _score(it, model.value, keep), measured.select(*keep).schema.add("score", "double"))
-    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    with scratch(spark):
+        measured = stored(measure(documents, F.col("doc_id"), held.alias("held_out")), "statistics")
+        y = labels.filter(F.col("quality").isNotNull() & (F.pmod(id_crc(), F.lit(4)) != 2)).select("doc_id", F.col("quality").cast("double").alias("y"))
+        fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+        training = stored(measured.filter("NOT held_out").join(y, "doc_id").select(*STATISTICS, "y", fold), "training")
+        model = spark.sparkContext.broadcast(fit(training))
+        out = measured.mapInArrow(lambda it: _score(it, model.value, keep), measured.select(*keep).schema.add("score", "double"))
+        return stored(out.withColumn("predicted", (F.col("score") >= 0.7).cast("int")), "scores", keep=True)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import spans
+from cairn.llm.common import scratch, stored
 
 KINDS = ("assign", "access", "hex")
 #: The added kind comes after the base kinds.
@@ -45,7 +46,7 @@ def find_secrets(text: str) -> tuple[list[spans.Span], list[dict]]:
     def add(kind: str, start: int, end: int, value: str) -> None:
         base.append((kind, start, end))
         taken.append((start, end))
-        out.append({"start": start, "end": end, "value": spans.hash64(value), "pattern": 0, "base": True})
+        out.append({"start": start, "end": end, "value": spans.hash64(value), "patterns": [], "base": True})
 
     for m in _ASSIGN.finditer(text):
         if len(m[2]) >= 6:
@@ -62,29 +63,35 @@ def find_secrets(text: str) -> tuple[list[spans.Span], list[dict]]:
             end = max(end, taken[i][1])
             i += 1
         if end <= m.start() and _random(m[0]):
-            out.append({"start": m.start(), "end": m.end(), "value": spans.hash64(m[0]), "pattern": 0, "base": False})
+            out.append({"start": m.start(), "end": m.end(), "value": spans.hash64(m[0]), "patterns": [], "base": False})
     return base, out
 
 
 def scan(documents: DataFrame, owner: Column, repository: Column) -> DataFrame:
-    """One row for each row of documents: doc_id, n_<kind>, base_sha256, spans, n_live, n_example.
+    """Stored: one row for each row of documents: doc_id, n_<kind>, base_sha256, spans, n_live, n_example.
 
     n_live and n_example count base spans and candidates by the owners of their values. A value
     whose owner is null belongs to an owner of its own; null and empty texts have no spans.
     """
-    found = spans.find(documents, KINDS, _HINT, find_secrets, F.col("doc_id"), owner.alias("owner"), repository.alias("repository"))
-    each = spans.candidates(found, "owner", "repository")
-    held = each.select("value", F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("o"), F.coalesce(F.col("repository").cast("string"), F.lit("")).alias("r")).distinct()
-    copied = held.groupBy("value").agg(F.count_distinct("o").alias("owners"), F.count("*").alias("repositories"))
-    copied = copied.filter((F.col("owners") > MAX_OWNERS) | (F.col("repositories") > MAX_REPOSITORIES)).select("value", F.lit(1).alias("copied"))
-    judged = each.join(copied, "value", "left")
-    live = F.col("copied").isNull()
-    added = judged.select(
-        "row", "start", F.lit(len(KINDS)).alias("rank"), F.when(live & ~F.col("base"), OWNED).alias("kind"), "end", live.cast("long").alias("n_live"), (~live).cast("long").alias("n_example")
-    )
-    return spans.with_added(found, added, "n_live", "n_example").select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_live", "n_example")
+    with scratch(documents.sparkSession):
+        found = spans.find(documents, KINDS, _HINT, find_secrets, F.col("doc_id"), owner.alias("owner"), repository.alias("repository"))
+        each = spans.candidates(found, "owner", "repository")
+        held = each.select("value", F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("o"), F.coalesce(F.col("repository").cast("string"), F.lit("")).alias("r")).distinct()
+        copied = held.groupBy("value").agg(F.count_distinct("o").alias("owners"), F.count("*").alias("repositories"))
+        copied = copied.filter((F.col("owners") > MAX_OWNERS) | (F.col("repositories") > MAX_REPOSITORIES)).select("value", F.lit(1).alias("copied"))
+        judged = each.join(copied, "value", "left")
+        live = F.col("copied").isNull()
+        added = judged.select(
+            "row", "start", F.lit(len(KINDS)).alias("rank"), F.when(live & ~F.col("base"), OWNED).alias("kind"), "end", live.cast("long").alias("n_live"), (~live).cast("long").alias("n_example")
+        )
+        out = spans.with_added(found, added, "n_live", "n_example").select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_live", "n_example")
+        return stored(out, "secrets", keep=True)
 
 
 def op8(documents: DataFrame) -> DataFrame:
-    """The owner is the source, a repository one language of it."""
+    """scan() of all rows; the owner is the source, a repository one language of it.
+
+    Repeated rows each have a row; spans of a text that stands on several rows are on all of them.
+    Columns beyond doc_id, text, source and lang are not read.
+    """
     return scan(documents, F.col("source"), F.concat_ws("/", "source", "lang"))

@@ -1,9 +1,10 @@
 """Resharding by minimum-cost flow.
 
 Old shard sizes are supplies, new capacities are demands, and a byte that stays costs nothing.
-The flow says how many bytes go from each old shard to each new one; rows are dealt out by
-their place in a fixed order of each old shard, so that a transfer is a stretch of blocks.
-The driver sees sizes of blocks, whose number is fixed, and never a row.
+The flow says how many bytes go from each old shard to each new one. Large rows are dealt out first,
+each along the flow to the shard that lacks most; small rows then fill what is left of the flow,
+by their place in a fixed order of each old shard, so that a transfer is a stretch of blocks.
+The driver sees sizes of blocks and of large rows, whose numbers are bounded, and no other row.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cairn.llm.common import stored
+from cairn.llm.common import scratch, stored
 
 #: Blocks of an old shard. More make smaller tasks; the result stays near equal with any number.
 BLOCKS = 512
+#: A row is large from this share of a shard on, and there are at most so many large ones.
+LARGE, MOST_LARGE = 1024, 1 << 18
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost) -> dict[tuple[int, int], int]:
@@ -76,64 +79,89 @@ def plan_transfers(old: list[int], shards: int, cost=lambda i, j: int(i != j)) -
     return min_cost_flow(old, [each + (j < more) for j in range(shards)], cost)
 
 
+def deal_large(sizes: list[tuple[int, int]], flow: dict[tuple[int, int], int]) -> tuple[list[int], dict[tuple[int, int], int]]:
+    """New shards of rows (old shard, size), largest first, and what is left of the flow.
+
+    A row goes along the transfer of its old shard with most left, of equals to its own shard. What
+    it has beyond that transfer is taken from the ones with most left, so that new sizes change
+    by no more than that.
+    """
+    left: dict[int, dict[int, int]] = {}
+    for (i, j), v in flow.items():
+        left.setdefault(i, {})[j] = v
+    to = [0] * len(sizes)
+    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k][1], sizes[k][0], k)):
+        i, size = sizes[k]
+        mine = left[i]
+        to[k] = j = max(mine, key=lambda b: (mine[b], b == i, -b))
+        while size and mine[j]:
+            taken = min(size, mine[j])
+            mine[j] -= taken
+            size -= taken
+            j = max(mine, key=lambda b: (mine[b], b == i, -b))
+    return to, {(i, j): v for i, mine in left.items() for j, v in mine.items() if v}
+
+
 def reshard(rows: DataFrame, shards: int, size: Column, old: Column, order: Column, blocks: int = BLOCKS) -> DataFrame:
-    """rows with _size, _old, _shard and _slot: shards near equal in bytes, with the fewest bytes moved.
+    """One row for each of rows: row (all its columns, as a struct), size, old, shard and slot; the fewest bytes move.
 
     size: bytes of a row, 1 or more; old: its old shard, from 0; order: a long that spreads rows
-    evenly, the place within an old shard. A row goes where its middle byte goes, so that a shard
-    is off by half a row for each transfer that it takes part in; rows of over 1/64 of a shard
-    come first in the order, largest first, away from the cuts. Slots of a shard have no gaps.
+    evenly, the place within an old shard. A small row goes where its middle byte goes, so that
+    shards are off by half a small row, under 1/2048 of a shard, for each transfer that they take
+    part in, and by what large rows force. Slots of a shard have no gaps. Equal rows are dealt
+    out like others; an empty table stays empty.
     """
     spark = rows.sparkSession
-    hashed = rows.withColumns({"_size": size, "_old": old, "_order": order})
-    hashed = stored(hashed.withColumn("_h", F.pmod("_order", F.lit(blocks)).cast("int")), "rows")
-    scale = F.floor(F.log2(F.col("_size").cast("double"))).cast("int")
-    stats = hashed.groupBy("_old", "_h", scale.alias("scale")).agg(F.sum("_size").alias("b")).collect()
-    if not stats:
-        return hashed.select(*rows.columns, "_size", "_old", F.lit(0).alias("_shard"), F.lit(0).cast("long").alias("_slot"))
-    n_old = 1 + max(r["_old"] for r in stats)
-    totals = [sum(r["b"] for r in stats if r["_old"] == i) for i in range(n_old)]
-    flow = plan_transfers(totals, shards)
-    large = max(1, sum(totals) // shards // 64)
-    bound = max(0, large.bit_length() - 1)  # a power of two, so that the histogram tells it exactly
-    block = F.col("_h") + blocks * (64 - F.when(scale >= bound, scale).otherwise(0))
-
-    def block_of(r) -> int:
-        return r["_h"] + blocks * (64 - (r["scale"] if r["scale"] >= bound else 0))
-
-    sizes: dict[tuple[int, int], int] = {}
-    for r in stats:
-        sizes[r["_old"], block_of(r)] = sizes.get((r["_old"], block_of(r)), 0) + r["b"]
-    starts, at = [], {}
-    for (i, b), s in sorted(sizes.items()):
-        starts.append((i, b, at.get(i, 0)))
-        at[i] = at.get(i, 0) + s
-    cuts = []
-    for i in range(n_old):
-        low = 0
-        for j in sorted((j for a, j in flow if a == i), key=lambda j, i=i: (j != i, j)):
-            cuts.append((i, j, low, low + flow[i, j]))
-            low += flow[i, j]
-    where = spark.createDataFrame(starts, "_old int, _block int, _start long")
-    to = spark.createDataFrame(cuts, "_old int, _shard int, _low long, _high long")
-
-    within = Window.partitionBy("_old", "_block").orderBy("_order", "_size", *[c for c in rows.columns if c == "doc_id"])
-    before = F.coalesce(F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = hashed.withColumn("_block", block).withColumn("_before", before)
-    placed = placed.join(F.broadcast(where), ["_old", "_block"]).withColumn("_middle", F.col("_start") + F.col("_before") + F.floor(F.col("_size") / 2))
-    placed = placed.join(F.broadcast(to), "_old").filter("_middle >= _low AND _middle < _high")
-    counted = Window.partitionBy("_old", "_block", "_shard").orderBy("_before")
-    placed = placed.withColumn("_n", F.row_number().over(counted) - 1)
-    placed = stored(placed.select(*rows.columns, "_size", "_old", "_block", "_shard", "_n"), "placed")
-
-    counts = placed.groupBy("_shard", "_old", "_block").agg(F.count("*").alias("n")).collect()
-    firsts, seen = [], {}
-    for r in sorted(counts, key=lambda r: (r["_shard"], r["_old"], r["_block"])):
-        firsts.append((r["_shard"], r["_old"], r["_block"], seen.get(r["_shard"], 0)))
-        seen[r["_shard"]] = seen.get(r["_shard"], 0) + r["n"]
-    first = spark.createDataFrame(firsts, "_shard int, _old int, _block int, _first long")
-    out = placed.join(F.broadcast(first), ["_shard", "_old", "_block"])
-    return out.select(*rows.columns, "_size", "_old", "_shard", (F.col("_first") + F.col("_n")).cast("long").alias("_slot"))
+    with scratch(spark):
+        hashed = rows.select(F.struct(*rows.columns).alias("row"), size.alias("size"), old.alias("old"), order.alias("order"))
+        hashed = stored(hashed.withColumn("h", F.pmod("order", F.lit(blocks)).cast("int")), "rows")
+        totals = {r["old"]: r["b"] for r in hashed.groupBy("old").agg(F.sum("size").alias("b")).collect()}
+        if not totals:
+            return stored(hashed.select("row", "size", "old", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")), "placed", keep=True)
+        olds = [totals.get(i, 0) for i in range(1 + max(totals))]
+        flow = plan_transfers(olds, shards)
+        bound = max(1, -(-sum(olds) // min(shards * LARGE, MOST_LARGE)))
+
+        # Equal rows have equal ranks among themselves in any order of them.
+        ranked = Window.partitionBy("old").orderBy(F.desc("size"), "order")
+        large = hashed.filter(F.col("size") > bound).withColumn("rank", F.row_number().over(ranked))
+        known = large.select("old", "rank", "size").collect()
+        to, flow = deal_large([(r["old"], r["size"]) for r in known], flow)
+        dealt = spark.createDataFrame([(r["old"], r["rank"], j) for r, j in zip(known, to, strict=True)], "old int, rank int, shard int")
+        large = large.join(F.broadcast(dealt), ["old", "rank"]).select("row", "size", "old", F.lit(-1).alias("block"), "shard", F.col("rank").cast("long").alias("before"))
+
+        small = hashed.filter(F.col("size") <= bound)
+        stats = small.groupBy("old", "h").agg(F.sum("size").alias("b")).collect()
+        starts, at = [], {}
+        for r in sorted(stats, key=lambda r: (r["old"], r["h"])):
+            starts.append((r["old"], r["h"], at.get(r["old"], 0)))
+            at[r["old"]] = at.get(r["old"], 0) + r["b"]
+        cuts = []
+        for i in range(len(olds)):
+            # Large rows may have taken more than their transfers had; the last cut takes all that is there.
+            targets = sorted((j for a, j in flow if a == i), key=lambda j, i=i: (j != i, j)) or [min(i, shards - 1)]
+            low = 0
+            for j in targets:
+                high = at.get(i, 0) + 1 if j == targets[-1] else low + flow[i, j]
+                cuts.append((i, j, low, high))
+                low = high
+        where = spark.createDataFrame(starts, "old int, h int, start long")
+        ways = spark.createDataFrame(cuts, "old int, shard int, low long, high long")
+        within = Window.partitionBy("old", "h").orderBy("order", "size")
+        before = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        small = small.withColumn("before", before).join(F.broadcast(where), ["old", "h"]).withColumn("middle", F.col("start") + F.col("before") + F.floor(F.col("size") / 2))
+        small = small.join(F.broadcast(ways), "old").filter("middle >= low AND middle < high").select("row", "size", "old", F.col("h").alias("block"), "shard", "before")
+
+        counted = Window.partitionBy("old", "block", "shard").orderBy("before")
+        placed = small.unionByName(large).withColumn("n", F.row_number().over(counted) - 1)
+        placed = stored(placed.select("row", "size", "old", "block", "shard", "n"), "placed", keep=True)
+        firsts, seen = [], {}
+        for r in sorted(placed.groupBy("shard", "old", "block").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["shard"], r["old"], r["block"])):
+            firsts.append((r["shard"], r["old"], r["block"], seen.get(r["shard"], 0)))
+            seen[r["shard"]] = seen.get(r["shard"], 0) + r["n"]
+        first = spark.createDataFrame(firsts, "shard int, old int, block int, first long")
+        out = placed.join(F.broadcast(first), ["shard", "old", "block"])
+        return out.select("row", "size", "old", "shard", (F.col("first") + F.col("n")).cast("long").alias("slot"))
 
 
 def text_bytes(text: str = "text") -> Column:
@@ -145,17 +173,18 @@ def reshard_files(source: DataFrame, out: str, shards: int, old: str = "shard")
     """Rewrites the shards of a table that gain or lose rows; returns where each affected shard is.
 
     source has doc_id, text and the column `old` (int). Shards that the result does not name keep
-    their files. A lost task writes its files again; nothing of source is deleted.
+    their files. Rewritten rows have the column `old` anew and slot, which a column of source of
+    that name gives way to. A lost task writes its files again; nothing of source is deleted.
     """
     order = F.xxhash64(F.col("doc_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = source.withColumnRenamed(old, "_was")
-    done = reshard(rows, shards, text_bytes(), F.col("_was"), order)
-    moves = done.filter("_was != _shard").select("_was", "_shard").distinct().collect()
-    touched = sorted({x for r in moves for x in r})
-    if touched:
-        done.filter(F.col("_shard").isin(touched)).select(*[c for c in source.columns if c != old], F.col("_slot").alias("slot"), F.col("_shard").alias(old)).repartition(
-            max(1, len(touched) * 4), old, F.pmod("_slot", F.lit(4))
-        ).write.partitionBy(old).parquet(out)
+    with scratch(source.sparkSession):
+        done = reshard(source, shards, text_bytes(), F.col(old), order)
+        moves = done.filter("old != shard").select("old", "shard").distinct().collect()
+        touched = sorted({x for r in moves for x in r})
+        if touched:
+            kept = [F.col("row")[c].alias(c) for c in source.columns if c.lower() not in (old.lower(), "slot")]
+            rows = done.filter(F.col("shard").isin(touched)).select(*kept, "slot", F.col("shard").alias(old))
+            rows.repartition(max(1, len(touched) * 4), old, F.pmod("slot", F.lit(4))).write.partitionBy(old).parquet(out)
     return {s: f"{out}/{old}={s}" for s in touched}
 
 
@@ -164,12 +193,16 @@ OLD_SHARDS, NEW_SHARDS = 12, 16
 
 
 def op1(documents: DataFrame) -> DataFrame:
-    """Null ids and texts are rows like others; repeated rows each have a slot; an empty table gives no rows."""
+    """All rows with the shard (0 to 15) and slot that they go to, under the law `bytes`.
+
+    Null ids and texts are rows like others; repeated rows each have a slot; an empty table gives no
+    rows. Columns beyond doc_id and text are not read.
+    """
     text = F.coalesce("text", F.lit(""))
     rows = documents.select("doc_id", F.crc32(text.cast("binary")).alias("text_crc32"), text_bytes().alias("size"))
     order = F.xxhash64("doc_id", "text_crc32", "size")
     old = F.pmod(F.shiftright(order, 32), F.lit(OLD_SHARDS)).cast("int")
     done = reshard(rows, NEW_SHARDS, F.col("size"), old, order)
     return done.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").cast("int").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast(T.IntegerType()).alias("grown_shard"), F.col("_old").alias("old_shard")
+        "row.doc_id", "size", "row.text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard"), F.col("old").alias("old_shard")
     )

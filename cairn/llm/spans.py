@@ -11,16 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from cairn.llm.common import small_batches, stored
+from cairn.llm.common import stored
 
 #: (kind, start, end): code points, end exclusive.
 Span = tuple[str, int, int]
 
 _SPAN = "struct<start: int, rank: int, kind: string, end: int>"
 _ARROW_SPAN = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
-#: A candidate: its place, the hash of its value, that of its pattern (0: none), and whether it is a base span.
-_CANDIDATE = "struct<start: int, end: int, value: long, pattern: long, base: boolean>"
-_ARROW_CANDIDATE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("pattern", pa.int64()), ("base", pa.bool_())])
+#: A candidate: its place, the hash of its value, those of its patterns, and whether it is a base span.
+_CANDIDATE = "struct<start: int, end: int, value: long, patterns: array<long>, base: boolean>"
+_ARROW_CANDIDATE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("patterns", pa.list_(pa.int64())), ("base", pa.bool_())])
 
 
 def hash64(x: str) -> int:
@@ -39,7 +39,6 @@ def find(rows: DataFrame, kinds: tuple[str, ...], hint: str, finder: Callable[[s
     hint: a pattern for RE2 that every text with a span or candidate matches; only those are
     given to finder, whole. Null texts count as empty.
     """
-    small_batches(rows.sparkSession)
     rows = rows.select(*keep, F.monotonically_increasing_id().alias("row"), F.col(text).alias("_text"))
     schema = rows.drop("_text").schema
     names = list(schema.names)
@@ -66,7 +65,7 @@ def find(rows: DataFrame, kinds: tuple[str, ...], hint: str, finder: Callable[[s
 
 
 def candidates(found: DataFrame, *keep: str) -> DataFrame:
-    """One row for each candidate: row, columns `keep`, start, end, value, pattern, base."""
+    """One row for each candidate: row, columns `keep`, start, end, value, patterns, base."""
     return found.select("row", *keep, F.inline("candidates"))
 
 
