@@ -12,26 +12,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import decontaminate, exact_dedup, langid, near_dedup, packing
-from cairn.llm.common import stored, table
+from cairn.llm.common import scratch, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without null texts and texts without a letter; repeated rows and all columns stay."""
     return langid.keep_identified(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each distinct text of docs, that with the largest doc_id; a null text is the empty one."""
     return exact_dedup.exact_dedup(docs, "largest")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near duplicates of docs; texts without words stay."""
     return near_dedup.near_dedup(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without rows that hold a benchmark window; null texts and those without words stay."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of all rows of docs, as op6_packing gives them; a null text has a piece of one id."""
     return packing.op6(docs)
 
 
@@ -48,9 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, stored; what the stages stored on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs, name)
-    return docs
+    with scratch(spark):
+        for name, stage in STAGES:
+            with scratch(spark):
+                # The next stage reads it; the table of the last one outlives both scratches.
+                docs = stored(stage(spark, docs, sf_dir), name, keep=True)
+        return stored(docs, "pipeline", keep=True)
