@@ -105,7 +105,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return K.mix(keys + np.arange(BANDS, dtype=np.uint64) * K.u64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _banded(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column("_text")
         for a, b, data, offsets in K.text_pieces(column):
@@ -113,20 +113,18 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             some = [i for i, s in enumerate(sets) if len(s)]
             ids: list[int | None] = [None] * (b - a)
             bands: list[np.ndarray | None] = [None] * (b - a)
-            sketch: list[bytes | None] = [None] * (b - a)
             if some:
-                signature = signatures([sets[i] for i in some])
-                keys, low = band_keys(signature), (signature & np.uint64(255)).astype(np.uint8)
+                keys = band_keys(signatures([sets[i] for i in some]))
                 for k, i in enumerate(some):
-                    ids[i], bands[i], sketch[i] = set_id(sets[i]), keys[k], low[k].tobytes()
+                    ids[i], bands[i] = set_id(sets[i]), keys[k]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "n_shingles", "sid", "bands", "sketch"],
+                [batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "sid", "bands"],
             )
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The sets whose number may be wanted, each once for a task."""
+    """The sets whose number may be wanted, each once for a task, and a byte of each slot of their signatures."""
     seen: set[int] = set()
     for batch in batches:
         for _, _, data, offsets in K.text_pieces(batch.column("_text")):
@@ -138,7 +136,9 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, bits: np.ndarray) -> Iterat
                     seen.add(int(ids[i]))
                     rows.append(i)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array([sets[i].tobytes() for i in rows], pa.binary())], ["sid", "members"])
+                low = (signatures([sets[i] for i in rows]) & np.uint64(255)).astype(np.uint8)
+                columns = [pa.array(ids[rows]), pa.array([sets[i].tobytes() for i in rows], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["sid", "members", "sketch"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -158,10 +158,10 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
 
 
 def full_sets(wanted: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """Stored: sid and members of the sets whose numbers are in wanted (and a few more, if it is very large)."""
+    """Stored: sid, members and sketch of the sets whose numbers are in wanted (and a few more, if it is very large)."""
     bits = wanted.sparkSession.sparkContext.broadcast(membership_filter(wanted, "sid"))
-    found = texts.mapInArrow(lambda it: _sets(it, n, bits.value), "sid long, members binary")
-    return stored(found.groupBy("sid").agg(F.first("members").alias("members")), "sets", rows=ROWS_OF_BATCH)
+    found = texts.mapInArrow(lambda it: _sets(it, n, bits.value), "sid long, members binary, sketch binary")
+    return stored(found.groupBy("sid").agg(F.first("members").alias("members"), F.first("sketch").alias("sketch")), "sets", rows=ROWS_OF_BATCH)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -239,35 +239,37 @@ def _across_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
 
 
 def _blocks(homes: DataFrame) -> DataFrame:
-    """homes (sid, home, size) with block: sets of one home together, in blocks of about BLOCK bytes.
+    """homes (sid, home, low, size) with block: sets of one home together, in blocks of about BLOCK bytes.
 
     Homes are hashes, so that ranges of them are dealt evenly; the sets of a home of more than
-    half a block are dealt out over blocks of its own.
+    half a block are dealt out by low over blocks of its own, neighbours in a bucket together.
     """
     total = homes.agg(F.sum("size").alias("s")).collect()[0]["s"] or 0
     ranges = max(1, -(-total // BLOCK))
     where = F.least(F.floor((F.col("home") / 2.0**64 + 0.5) * ranges), F.lit(ranges - 1)).cast("string")
     large = homes.groupBy("home").agg(F.sum("size").alias("s")).filter(F.col("s") > BLOCK // 2).select("home", F.ceil(2 * F.col("s") / BLOCK).alias("parts"))
-    part = F.concat_ws("/", "home", F.pmod(F.xxhash64("sid"), "parts"))
+    # Copies share the least bucket of many sets; their sets are dealt out by half.
+    part = F.concat_ws("/", "home", F.pmod(F.xxhash64("low", F.pmod("sid", F.lit(4))), "parts"))
     return homes.join(large, "home", "left").select("sid", F.when(F.col("parts").isNull(), where).otherwise(part).alias("block"))
 
 
-def across(members: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Stored: links that the stars missed. members (key, sid): the buckets without their centres.
 
     A link can be missing only between members of one bucket with different labels. The sets of
-    such buckets are dealt into blocks, neighbours in a bucket together, and two blocks meet if a
+    such buckets are dealt into blocks, those that buckets join together, and two blocks meet if a
     bucket has members of different labels in them: the work grows with the pairs of blocks that
     share a bucket, not with the square of what edges join to a family.
     """
     with scratch(members.sparkSession):
         named = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("sid").alias("first")).filter("low != high").select("key", "first")
         named = stored(named.join(mixed, "key"), "mixed")
-        one = sketches.join(named.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("sketch").alias("sketch"))
-        home = named.groupBy("sid").agg(F.min("key").alias("home"), F.first("label").alias("label"))
-        rows = stored(home.join(sets, "sid").join(one, "sid"), "rows")
-        blocks = stored(_blocks(rows.select("sid", "home", (F.octet_length("members") + SLOTS).alias("size"))), "blocks")
+        joined = components(named.select(F.col("first").alias("a"), F.col("sid").alias("b")).filter("a != b").distinct())
+        low = named.groupBy("sid").agg(F.min("key").alias("low"), F.first("label").alias("label"))
+        rows = low.join(joined.select(F.col("node").alias("sid"), F.col("label").alias("home")), "sid").join(sets, "sid")
+        rows = stored(rows, "rows")
+        blocks = stored(_blocks(rows.select("sid", "home", "low", (F.octet_length("members") + SLOTS).alias("size"))), "blocks")
         # For each bucket its blocks with the least and largest label there; then pairs of them.
         parts = named.join(blocks, "sid").groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         lists = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("block", "low", "high"))).alias("p"))
@@ -310,7 +312,7 @@ def near_groups(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     """
     with scratch(documents.sparkSession):
         docs = documents.select("doc_id", F.col("text").alias("_text"))
-        rows = stored(docs.mapInArrow(lambda it: _sketches(it, n), "doc_id long, n_shingles long, sid long, bands array<long>, sketch binary"), "rows", rows=ROWS_OF_BATCH)
+        rows = stored(docs.mapInArrow(lambda it: _banded(it, n), "doc_id long, n_shingles long, sid long, bands array<long>"), "rows", rows=ROWS_OF_BATCH)
         banded = rows.filter("sid IS NOT NULL").select("sid", F.explode("bands").alias("key"))
         buckets = banded.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low != high").select("key")
         members = stored(banded.join(buckets, "key").distinct(), "members")
@@ -323,7 +325,7 @@ def near_groups(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFram
         # The centre is side a of an edge here, whatever its number.
         links = confirm(rest.select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct(), sets, percent)
         labels = components(links)
-        missed = across(rest.select("key", "sid"), labels, rows.select("sid", "sketch"), sets, percent)
+        missed = across(rest.select("key", "sid"), labels, sets, percent)
         if missed.limit(1).count():
             labels = components(links.unionByName(missed))
 
