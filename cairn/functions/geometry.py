@@ -95,6 +95,16 @@ def rotation_degrees(a: Pose, b: Pose) -> Column:
     return F.degrees(F.acos(F.greatest(F.least((trace - 1) / 2, F.lit(1.0)), F.lit(-1.0))))
 
 
+def angle(p: Pose) -> Column:
+    """Angle of a rotation in radians, the cosine clamped."""
+    return F.acos(F.greatest(F.least((p["r00"] + p["r11"] + p["r22"] - 1) / 2, F.lit(1.0)), F.lit(-1.0)))
+
+
+def components(p: Pose) -> list[Column]:
+    """SE6: x, y, z, roll, pitch, yaw of a pose."""
+    return [p["tx"], p["ty"], p["tz"], *to_euler(p)]
+
+
 def distance(a: Pose, b: Pose) -> Column:
     return F.sqrt(sum(((a[t] - b[t]) * (a[t] - b[t]) for t in ("tx", "ty", "tz")), F.lit(0.0)))
 
@@ -155,6 +165,38 @@ def pinhole(x: Column, y: Column, z: Column, fx: float, fy: float, cx: float, cy
     return (fx * x / depth + cx).cast("int"), (fy * y / depth + cy).cast("int")
 
 
+def in_image(u: Column, v: Column, width: int, height: int) -> Column:
+    """SE12: a pixel inside the image; those on the far edges are outside."""
+    return (u >= 0) & (u < width) & (v >= 0) & (v < height)
+
+
+def from_ranges(r: Column, azimuth: Column, elevation: Column, base: float = 0.090805) -> tuple[Column, Column, Column]:
+    """PR16: a point of a spinning scanner from range, azimuth and elevation; null up to a range of 1."""
+    valid = F.when(r > 1.0, r)
+    flat = F.cos(elevation) * valid
+    return F.sin(azimuth) * flat, -F.cos(azimuth) * flat, F.sin(elevation) * valid - base
+
+
+def turn_back(x: Column, y: Column, i: Column, n: int) -> tuple[Column, Column]:
+    """SE15: a point of azimuth sector i of n turned back into the first."""
+    a = -i * 2 * math.pi / n
+    return F.cos(a) * x - F.sin(a) * y, F.sin(a) * x + F.cos(a) * y
+
+
+#: SE23: metres by which the true places of a scene are off in x and y, by its number (fixed values).
+OFFSETS = {
+    0: (15, 5), 6: (3.5, 2), 7: (10, 8), 10: (5, 2), 12: (3, 1), 13: (4, 2), 14: (-2, 2), 15: (3, 2), 17: (2, 2), 18: (8, 2), 21: (2, 1), 23: (5, 2), 24: (0, 2),
+}
+
+
+def with_offset(scene: Column, tx: Column, ty: Column) -> tuple[Column, Column]:
+    """SE23: a place with the offset of its scene; scenes without one stay."""
+    dx, dy = F.lit(0.0), F.lit(0.0)
+    for number, (x, y) in OFFSETS.items():
+        dx, dy = F.when(scene == number, F.lit(float(x))).otherwise(dx), F.when(scene == number, F.lit(float(y))).otherwise(dy)
+    return tx + dx, ty + dy
+
+
 def mercator(lat: Column, lon: Column, scale: Column) -> tuple[Column, Column]:
     """SE17: metres on a sphere of the earth's equatorial radius."""
     r = 6378137.0

@@ -34,3 +34,14 @@ def has_positive_sum(v: Column) -> Column:
 
 def has_no_zero(v: Column) -> Column:
     return F.forall(v, lambda x: x != 0)
+
+
+def similarity_to(v: Column, text: list[float]) -> Column:
+    """AG24: cosine to a given embedding; null for a descriptor with a zero in it."""
+    size = sum(x * x for x in text) ** 0.5
+    return F.when(has_no_zero(v), dot(v, F.array(*[F.lit(float(x)) for x in text])) / (norm(v) * size))
+
+
+def masked(v: Column, black: Column) -> Column:
+    """PR8: a zero descriptor where the mask is black."""
+    return F.when(black, F.transform(v, lambda x: x * 0)).otherwise(v)

@@ -17,13 +17,16 @@ from cairn.operators.points import voxel_key
 BLOCK = 2048
 
 
-def _cells(source: DataFrame, target: DataFrame, size: float, by: tuple[str, ...]) -> DataFrame:
-    """Pairs of a source row `s` and a target row `t` of the same or a touching cell."""
+_POINT = ("pt_id", "x", "y", "z")
+
+
+def _cells(source: DataFrame, target: DataFrame, size: float, by: tuple[str, ...], floor: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a source point `s` (id and coordinates alone) and a target point `t` (`more` too) of the same or a touching cell."""
     near = F.expr("sequence(-1, 1)")
-    s = voxel_key(source, size).select(F.struct(*source.columns).alias("s"), *by, "vx", "vy", "vz")
+    s = voxel_key(source.select(*_POINT, *by), size, floor).select(F.struct(*_POINT).alias("s"), *by, "vx", "vy", "vz")
     for a in "xyz":
         s = s.withColumn("_o", F.explode(near)).withColumn(f"v{a}", F.col(f"v{a}") + F.col("_o")).drop("_o")
-    t = voxel_key(target, size).select(F.struct(*target.columns).alias("t"), *by, "vx", "vy", "vz")
+    t = voxel_key(target.select(*_POINT, *more, *by), size, floor).select(F.struct(*_POINT, *more).alias("t"), *by, "vx", "vy", "vz")
     return s.join(t, [*by, "vx", "vy", "vz"]).select("s", "t", *by)
 
 
@@ -39,36 +42,33 @@ def nearest_in_cells(source: DataFrame, target: DataFrame, size: float, far: flo
 
 
 def nearest_hybrid(source: DataFrame, target: DataFrame, size: float, far: float, *by: str, desc: str = "desc") -> DataFrame:
-    """JN3: as above, ranked by squared distance times clamp((1 - cosine) / 2, 0.01, 1); the gate is on distance alone."""
-    a, b = F.col(f"s.{desc}"), F.col(f"t.{desc}")
+    """JN3: as above, ranked by squared distance times clamp((1 - cosine) / 2, 0.01, 1); the gate is on distance alone.
+
+    Source descriptors come in by id once pairs of points are there, so that none is copied to 27 cells.
+    """
+    pairs = _cells(source, target, size, by, more=(desc,)).select(F.col("s.pt_id").alias("src_id"), F.col("t.pt_id").alias("tgt_id"), squared().alias("d2"), F.col(f"t.{desc}").alias("_b"), *by)
+    pairs = pairs.join(source.select(F.col("pt_id").alias("src_id"), *by, F.col(desc).alias("_a")), ["src_id", *by])
+    a, b = F.col("_a"), F.col("_b")
     cosine = V.dot(a, b) / (V.norm(a) * V.norm(b) + 1e-5)
     factor = F.when(V.has_nonzero_sum(a) & V.has_nonzero_sum(b), F.greatest(F.least(0.5 * (1 - cosine), F.lit(1.0)), F.lit(0.01))).otherwise(1.0)
-    pairs = _cells(source, target, size, by).select(F.col("s.pt_id").alias("src_id"), F.col("t.pt_id").alias("tgt_id"), squared().alias("d2"), (squared() * factor).alias("cost"), *by)
-    best = pairs.groupBy("src_id", *by).agg(F.min(F.struct("cost", "tgt_id", "d2")).alias("m"))
+    best = pairs.withColumn("cost", F.col("d2") * factor).groupBy("src_id", *by).agg(F.min(F.struct("cost", "tgt_id", "d2")).alias("m"))
     return best.select("src_id", F.col("m.tgt_id").alias("tgt_id"), F.sqrt("m.d2").alias("d"), *by).filter(F.col("d") < far)
 
 
 def within(source: DataFrame, target: DataFrame, max_d2: float, size: float, *by: str) -> DataFrame:
     """All pairs with squared distance below max_d2 (size at least its root): (src_id, tgt_id, d2)."""
-    pairs = _cells_floor(source, target, size, by)
+    pairs = _cells(source, target, size, by, floor=True)
     return pairs.select(F.col("s.pt_id").alias("src_id"), F.col("t.pt_id").alias("tgt_id"), squared().alias("d2"), *by).filter(F.col("d2") < max_d2)
 
 
-def _cells_floor(source: DataFrame, target: DataFrame, size: float, by: tuple[str, ...]) -> DataFrame:
-    near = F.expr("sequence(-1, 1)")
-    s = voxel_key(source, size, floor=True).select(F.struct(*source.columns).alias("s"), *by, "vx", "vy", "vz")
-    for a in "xyz":
-        s = s.withColumn("_o", F.explode(near)).withColumn(f"v{a}", F.col(f"v{a}") + F.col("_o")).drop("_o")
-    t = voxel_key(target, size, floor=True).select(F.struct(*target.columns).alias("t"), *by, "vx", "vy", "vz")
-    return s.join(t, [*by, "vx", "vy", "vz"]).select("s", "t", *by)
-
-
 def radius_count(source: DataFrame, target: DataFrame, max_d2: float, size: float, k: int, *by: str) -> DataFrame:
-    """JN11: of the k nearest within reach, those with 0 < d2; sources without any count 0."""
-    w = Window.partitionBy("src_id", *by).orderBy("d2", "tgt_id")
-    ranked = within(source, target, max_d2, size, *by).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k)
-    counts = ranked.groupBy("src_id").agg(F.count_if(F.col("d2") > 0).alias("n"))
-    return source.select(F.col("pt_id").alias("src_id")).join(counts, "src_id", "left").select("src_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    """JN11: of the k nearest within reach, those with 0 < d2; sources without any count 0.
+
+    Those at distance 0 are the nearest, so that two counts tell it and no pair is sorted.
+    """
+    counts = within(source, target, max_d2, size, *by).groupBy("src_id", *by).agg(F.count("*").alias("n"), F.count_if(F.col("d2") == 0).alias("same"))
+    counts = counts.select("src_id", *by, (F.least("n", F.lit(k)) - F.least("same", F.lit(k))).alias("n"))
+    return source.select(F.col("pt_id").alias("src_id"), *by).join(counts, ["src_id", *by], "left").select("src_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def near_distinct(source: DataFrame, target: DataFrame, max_d2: float, size: float, k: int, *by: str) -> DataFrame:
@@ -79,18 +79,59 @@ def near_distinct(source: DataFrame, target: DataFrame, max_d2: float, size: flo
 
 
 def ball_query(source: DataFrame, target: DataFrame, max_d2: float, size: float, n: int, *by: str) -> DataFrame:
-    """JN12, JN17: the first n targets by id within reach, padded with the first; without a hit n zeros: (src_id, slot, tgt_id)."""
-    hits = within(source, target, max_d2, size, *by).groupBy("src_id").agg(F.slice(F.sort_array(F.collect_list("tgt_id")), 1, n).alias("h"))
-    all_rows = source.select(F.col("pt_id").alias("src_id")).join(hits, "src_id", "left")
+    """JN12, JN16, JN17: the first n targets by id within reach, padded with the first; without a hit n zeros: (src_id, slot, tgt_id)."""
+    w = Window.partitionBy("src_id", *by).orderBy("tgt_id")
+    first = within(source, target, max_d2, size, *by).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n)
+    hits = first.groupBy("src_id", *by).agg(F.sort_array(F.collect_list("tgt_id")).alias("h"))
+    all_rows = source.select(F.col("pt_id").alias("src_id"), *by).join(hits, ["src_id", *by], "left")
     filled = F.concat("h", F.array_repeat(F.element_at("h", 1), F.lit(n) - F.size("h")))
     return all_rows.select("src_id", F.posexplode(F.coalesce(filled, F.array_repeat(F.lit(0).cast("long"), n))).alias("slot", "tgt_id"))
 
 
+def grouped_points(slots: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """JN18: (src_id, slot, dx, dy, dz): the points that slots (src_id, slot, tgt_id) name, seen from their centres."""
+    t = target.select(F.col("pt_id").alias("tgt_id"), *[F.col(c).alias(f"_t{c}") for c in "xyz"])
+    s = source.select(F.col("pt_id").alias("src_id"), *[F.col(c).alias(f"_s{c}") for c in "xyz"])
+    return slots.join(t, "tgt_id").join(s, "src_id").select("src_id", "slot", *[(F.col(f"_t{c}") - F.col(f"_s{c}")).alias(f"d{c}") for c in "xyz"])
+
+
+def snapped(pairs: DataFrame, source: DataFrame, target: DataFrame, far: float = 0.001, *by: str) -> DataFrame:
+    """PR12: pairs (sx..sz, tx..tz) both of whose ends lie nearer than far to a point of their cloud."""
+    rows = pairs.withColumn("_id", F.monotonically_increasing_id())
+    for side, cloud in (("s", source), ("t", target)):
+        ends = rows.select(F.col("_id").alias("pt_id"), *[F.col(f"{side}{c}").alias(c) for c in "xyz"], *by)
+        there = within(ends, cloud, far * far, far, *by).select(F.col("src_id").alias("_id")).distinct()
+        rows = rows.join(there, "_id", "left_semi")
+    return rows.drop("_id")
+
+
+def nearest_scan(places: DataFrame, scans: DataFrame, key: str) -> DataFrame:
+    """JN22: for each place (q, tx, ty, tz) of a key the scan (scan, tx, ty, tz) nearest to it, the least number of equals."""
+    s = scans.select(key, "scan", *[F.col(c).alias(f"_{c}") for c in ("tx", "ty", "tz")])
+    d2 = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in ("tx", "ty", "tz")), F.lit(0.0))
+    best = places.join(s, key).groupBy(key, "q").agg(F.min(F.struct(d2.alias("d2"), "scan")).alias("m"))
+    return best.select(key, "q", F.col("m.scan").alias("scan"))
+
+
+def on_ground(anchors: DataFrame, ground: DataFrame, far: float, *by: str) -> DataFrame:
+    """JN23: anchors raised to the highest point within far of them in x and y; those without one stay."""
+    flat = [df.withColumn("_z", F.col("z")).withColumn("z", F.lit(0.0)) for df in (anchors, ground)]
+    tops = within(flat[0], flat[1], far * far, far, *by).join(ground.select(F.col("pt_id").alias("tgt_id"), F.col("z").alias("_top")), "tgt_id").groupBy(F.col("src_id").alias("pt_id")).agg(F.max("_top").alias("_top"))
+    return anchors.join(tops, "pt_id", "left").withColumn("z", F.coalesce("_top", "z")).drop("_top")
+
+
 def isolated(points: DataFrame, max_d2: float, size: float, at_least: int, *by: str) -> DataFrame:
     """IT14: points with fewer than `at_least` others within reach."""
     return radius_count(points, points, max_d2, size, 10, *by).filter(F.col("n") < at_least).select(F.col("src_id").alias("pt_id"))
 
 
+def extended_class(points: DataFrame, marked: DataFrame, max_d2: float, size: float, at_least: int = 3, k: int = 50, *by: str) -> DataFrame:
+    """IT14: points left when marked ones that are not isolated, and all within reach of them (their k nearest), are taken out."""
+    core = marked.join(isolated(marked, max_d2, size, at_least, *by), "pt_id", "left_anti")
+    around = near_distinct(core, points, max_d2, size, k, *by).select(F.col("tgt_id").alias("pt_id"))
+    return points.join(core.select("pt_id").unionByName(around), "pt_id", "left_anti")
+
+
 def maxima(points: DataFrame, score: str, max_d2: float, size: float, *by: str) -> DataFrame:
     """WN9: points without a better-scored one within reach."""
     scores = points.select(F.col("pt_id").alias("tgt_id"), F.col(score).alias("_t"))
@@ -107,12 +148,12 @@ def _best(left: pd.DataFrame, right: pd.DataFrame, k: int, both: bool) -> Iterat
     order = np.argsort(bi, kind="stable")
     s, bi = s[:, order], bi[order]
     kept = min(k, s.shape[1])
-    top = np.argsort(-s, axis=1, kind="stable")[:, :kept]
+    top = s.argmax(1)[:, None] if kept == 1 else np.argsort(-s, axis=1, kind="stable")[:, :kept]
     yield pd.DataFrame({"side": 0, "id": np.repeat(ai, kept), "other": bi[top].ravel(), "sim": np.take_along_axis(s, top, 1).ravel()})
     if both:
         order = np.argsort(ai, kind="stable")
         s, ai = s[order], ai[order]
-        top = np.argsort(-s, axis=0, kind="stable")[: min(k, len(ai))]
+        top = s.argmax(0)[None] if k == 1 else np.argsort(-s, axis=0, kind="stable")[: min(k, len(ai))]
         yield pd.DataFrame({"side": 1, "id": np.tile(bi, len(top)), "other": ai[top].ravel(), "sim": np.take_along_axis(s, top, 0).ravel()})
 
 
@@ -160,3 +201,8 @@ def smallest(matches: DataFrame, n: int) -> DataFrame:
     """JN7, TK1: the n matches of least distance d, at most all but one of them."""
     kept = max(0, min(n, matches.count() - 1))
     return matches.orderBy("d", "src_id").limit(kept)
+
+
+def retried(coarse: DataFrame, fine, at_least: int = 75) -> DataFrame:
+    """JN6: the matches of coarsely thinned clouds, or, if they are too few, those that fine() gives."""
+    return coarse if coarse.limit(at_least).count() >= at_least else fine()

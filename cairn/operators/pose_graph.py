@@ -133,6 +133,8 @@ def optimise(poses: np.ndarray, factors: Factor, rounds: int = 50, stop: float =
     least = cost(poses, factors)
     loops = int(((factors[0] >= 0) & (factors[1] != factors[0] + 1)).sum())
     for _ in range(rounds):
+        if least < 1e-18:
+            break  # nothing to gain, and no need to factor
         step = _step(poses, factors, 6 * loops + 12)
         if np.abs(step).max() < stop:
             break
@@ -210,7 +212,7 @@ def pose_graph(factors: DataFrame, key: str, order: str, at_least: int = 1) -> D
     """
     kind = factors.schema[key].dataType.simpleString()
 
-    def one(name, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = solve(rows.sort_values(order, kind="stable"), at_least)
         out.insert(0, key, name[0])
         return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -150,20 +151,43 @@ def icp(source: np.ndarray, target: CellMap, guess: np.ndarray, far: float, kern
     return out
 
 
-def ransac(a: np.ndarray, b: np.ndarray, rounds: int = 50_000, far: float = 0.5, seed: int = 0) -> np.ndarray:
-    """IT4: the pose from three pairs that most pairs agree with, refined over those."""
+def turns(h: np.ndarray) -> np.ndarray:
+    """Rotations of least squares from sums h (n, 3, 3) of s t^T."""
+    u, _, vt = np.linalg.svd(h)
+    v = np.swapaxes(vt, 1, 2).copy()
+    v[:, :, 2] *= np.sign(np.linalg.det(v @ np.swapaxes(u, 1, 2)))[:, None]
+    return v @ np.swapaxes(u, 1, 2)
+
+
+def ransac(a: np.ndarray, b: np.ndarray, rounds: int = 50_000, far: float = 0.5, seed: int = 0, missed: float = 1e-12, block: int = 256) -> np.ndarray:
+    """IT4: the pose from three pairs that most pairs agree with, refined over those.
+
+    Triples are drawn and fitted in blocks. It ends after `rounds` of them, or when the chance that
+    none of them was free of outliers, at the share of inliers found so far, is below `missed`.
+    """
     rng = np.random.default_rng(seed)
-    best, score = np.eye(4), -1
-    if len(a) < 3:
+    best, score, n = np.eye(4), -1, len(a)
+    if n < 3:
         return best
-    for _ in range(rounds):
-        pick = rng.choice(len(a), 3, replace=False)
-        t = rigid(a[pick], b[pick])
-        n = int((((moved(a, t) - b) ** 2).sum(1) < far * far).sum())
-        if n > score:
-            best, score = t, n
-            if n == len(a):
-                break
+    done, needed = 0, float(rounds)
+    while done < min(rounds, needed):
+        pick = rng.integers(0, n, (min(block, rounds - done), 3))
+        done += len(pick)
+        pick = pick[(pick[:, 0] != pick[:, 1]) & (pick[:, 0] != pick[:, 2]) & (pick[:, 1] != pick[:, 2])]
+        if not len(pick):
+            continue
+        p, q = a[pick], b[pick]
+        cp, cq = p.mean(1), q.mean(1)
+        r = turns(np.einsum("nki,nkj->nij", p - cp[:, None], q - cq[:, None]))
+        t = cq - np.einsum("nij,nj->ni", r, cp)
+        agree = ((np.einsum("nij,kj->nki", r, a) + t[:, None] - b) ** 2).sum(2) < far * far
+        counts = agree.sum(1)
+        k = int(counts.argmax())
+        if counts[k] > score:
+            score, best = int(counts[k]), np.eye(4)
+            best[:3, :3], best[:3, 3] = r[k], t[k]
+            free = (score / n) ** 3
+            needed = np.log(missed) / np.log1p(-free) if free < 1 else 0.0
     good = ((moved(a, best) - b) ** 2).sum(1) < far * far
     return rigid(a[good], b[good]) if good.sum() >= 3 else best
 
@@ -240,11 +264,32 @@ def trajectory_error(truth: list[np.ndarray], estimate: list[np.ndarray]) -> tup
     return float(np.sqrt(np.mean(turn))), float(np.sqrt(np.mean(way)))
 
 
+def se3_log(t: np.ndarray) -> np.ndarray:
+    """Twist of a pose whose angle is below half a turn, translation first."""
+    angle = float(np.arccos(np.clip((np.trace(t[:3, :3]) - 1) / 2, -1, 1)))
+    k = 0.5 if angle < 1e-9 else angle / (2 * np.sin(angle))
+    w = k * np.array([t[2, 1] - t[1, 2], t[0, 2] - t[2, 0], t[1, 0] - t[0, 1]])
+    hat = np.array([[0, -w[2], w[1]], [w[2], 0, -w[0]], [-w[1], w[0], 0]])
+    c = 1 / 12 if angle < 1e-6 else 1 / angle**2 - 1 / (2 * angle * np.tan(angle / 2))
+    return np.r_[(np.eye(3) - hat / 2 + c * hat @ hat) @ t[:3, 3], w]
+
+
+def deskewed(points: np.ndarray, rel: np.ndarray, start: np.ndarray, finish: np.ndarray) -> np.ndarray:
+    """WN8: points moved by the share of the motion between their time (0 to 1) and the middle of the scan."""
+    twist = se3_log(np.linalg.inv(start) @ finish)
+    times, of = np.unique(rel, return_inverse=True)
+    poses = np.stack([se3_exp((x - 0.5) * twist) for x in times])[of]
+    return np.einsum("nij,nj->ni", poses[:, :3, :3], points) + poses[:, :3, 3]
+
+
 class Odometry:
-    """IT8: one sequence, a frame at a time; the map is bounded by distance, the rest by constants."""
+    """IT8: one sequence, a frame at a time; the map is bounded by distance, the rest by constants.
+
+    update: WN5, the motion below which a frame leaves map, poses and threshold as they are, once two poses are there.
+    """
 
-    def __init__(self, voxel: float = 1.0, low: float = 5.0, high: float = 100.0, cap: int = 20, min_motion: float = 0.1, sigma: float = 2.0) -> None:
-        self.voxel, self.low, self.high, self.min_motion, self.sigma = voxel, low, high, min_motion, sigma
+    def __init__(self, voxel: float = 1.0, low: float = 5.0, high: float = 100.0, cap: int = 20, min_motion: float = 0.1, sigma: float = 2.0, update: float = 0.0) -> None:
+        self.voxel, self.low, self.high, self.min_motion, self.sigma, self.update = voxel, low, high, min_motion, sigma, update
         self.map = CellMap(voxel, cap)
         self.first = self.last = self.before = None
         self.deviation, self.sse, self.n = np.eye(4), 0.0, 0
@@ -258,7 +303,10 @@ class Odometry:
             self.sse, self.n = self.sse + error**2, self.n + 1
         return float(np.sqrt(self.sse / self.n)) if self.n else self.sigma
 
-    def register(self, points: np.ndarray) -> np.ndarray:
+    def register(self, points: np.ndarray, rel: np.ndarray | None = None) -> np.ndarray:
+        """The pose of a frame; rel: times of its points within the scan, to be deskewed by the motion before it."""
+        if rel is not None and self.before is not None:
+            points = deskewed(points, rel, self.before, self.last)
         d = np.linalg.norm(points, axis=1)
         kept = points[(d > self.low) & (d < self.high)]
         fine = downsample(kept, 0.5 * self.voxel)
@@ -267,6 +315,8 @@ class Odometry:
         motion = np.linalg.inv(self.before) @ self.last if self.before is not None else np.eye(4)
         guess = (self.last if self.last is not None else np.eye(4)) @ motion
         pose = icp(coarse, self.map, guess, 3 * sigma, sigma / 3)
+        if self.before is not None and np.linalg.norm((np.linalg.inv(self.last) @ pose)[:3, 3]) < self.update:
+            return pose
         self.deviation = np.linalg.inv(guess) @ pose
         self.map.add(moved(fine, pose))
         self.map.evict(pose[:3, 3], self.high)
@@ -279,16 +329,39 @@ def xyz(frame: pd.DataFrame, prefix: str = "") -> np.ndarray:
     return frame[[prefix + c for c in "xyz"]].to_numpy(np.float64)
 
 
-def odometry(points: DataFrame, seq: str = "seq_id", frame: str = "frame_id", **settings) -> DataFrame:
-    """Poses of each frame of each sequence from (seq, frame, pt_id, x, y, z); a sequence is one group."""
+def odometry(points: DataFrame, seq: str = "seq_id", frame: str = "frame_id", rel: str | None = None, jump: int = 0, n_scans: int | None = None, **settings) -> DataFrame:
+    """Poses of frames jump to jump + n_scans - 1 of each sequence from (seq, frame, pt_id, x, y, z); rel: the column of times for deskewing.
+
+    The frames of a sequence follow each other in one task, which holds one frame and its map at a
+    time, however long the sequence is.
+    """
+    from cairn.operators.points import frames_from
+
+    columns = [seq, frame, "pt_id", "x", "y", "z", *([rel] if rel else [])]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = Odometry(**settings), []
-        for f, part in rows.sort_values([frame, "pt_id"]).groupby(frame):
-            out.append({seq: key[0], frame: f} | pose_row(state.register(xyz(part))))
-        return pd.DataFrame(out)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, now, parts = Odometry(**settings), None, []
 
-    return points.select(seq, frame, "pt_id", "x", "y", "z").groupBy(seq).applyInPandas(run, f"{seq} long, {frame} long, {POSE_SCHEMA}")
+        def done() -> pd.DataFrame:
+            rows = pd.concat(parts)
+            pose = state.register(xyz(rows), rows[rel].to_numpy(np.float64) if rel else None)
+            return pd.DataFrame([{seq: now[0], frame: now[1]} | pose_row(pose)])
+
+        for batch in batches:
+            for key, part in batch.groupby([seq, frame], sort=False):
+                if now is not None and key != now:
+                    yield done()
+                    if key[0] != now[0]:
+                        state = Odometry(**settings)
+                    parts = []
+                now = key
+                parts.append(part)
+        if parts:
+            yield done()
+
+    rows = frames_from(points.select(*columns), frame, jump, n_scans)
+    rows = rows.repartition(seq).sortWithinPartitions(seq, frame, "pt_id")
+    return rows.mapInPandas(run, f"{seq} long, {frame} long, {POSE_SCHEMA}")
 
 
 def pairwise(source: DataFrame, target: DataFrame, key: str, voxel: float = 1.0, sigma: float = 1.0) -> DataFrame:
@@ -324,6 +397,87 @@ def solve_groups(pairs: DataFrame, key: str, method: str = "kabsch", **settings)
     return ordered.groupBy(key).applyInPandas(run, f"{key} long, {POSE_SCHEMA}")
 
 
+def weighted_sums(pairs: DataFrame, weight: str, *by: str) -> DataFrame:
+    """AG3: weighted centroids c<side><axis> (1e-6 in the denominators) and covariance h<axis><axis> of pairs (sx..sz to tx..tz)."""
+    w = F.col(weight)
+    total = F.sum(w) + 1e-6
+    means = pairs.groupBy(*by).agg(*[(F.sum(w * F.col(f"{side}{a}")) / total).alias(f"c{side}{a}") for side in "st" for a in "xyz"])
+    names = [f"c{side}{a}" for side in "st" for a in "xyz"]
+    centred = pairs.join(means, list(by)) if by else pairs.crossJoin(F.broadcast(means))
+    off = {f"{side}{a}": F.col(f"{side}{a}") - F.col(f"c{side}{a}") for side in "st" for a in "xyz"}
+    return centred.groupBy(*by, *names).agg(*[F.sum(w * off[f"s{a}"] * off[f"t{b}"]).alias(f"h{a}{b}") for a in "xyz" for b in "xyz"])
+
+
+def local_axes(neighbours: DataFrame, key: str = "src_id") -> DataFrame:
+    """AG16: the axis of least spread of the points around each centre, from rows (key, dx, dy, dz); it points to where most of them are not.
+
+    Six sums for each centre in Spark, eigenvectors in numpy for a batch of centres.
+    """
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    sums = neighbours.groupBy(key).agg(*[F.sum(F.col(f"d{a}") * F.col(f"d{b}")).alias(f"{a}{b}") for a, b in pairs], *[F.sum(f"d{a}").alias(f"s{a}") for a in "xyz"], F.count("*").alias("n"))
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            c = np.zeros((len(f), 3, 3))
+            for a, b in pairs:
+                i, j = "xyz".index(a), "xyz".index(b)
+                c[:, i, j] = c[:, j, i] = f[f"{a}{b}"] / 3
+            values, vectors = np.linalg.eigh(c)
+            z = vectors[:, :, 0]
+            away = (z * f[["sx", "sy", "sz"]].to_numpy()).sum(1) > 0
+            z = np.where(away[:, None], -z, z)
+            yield pd.DataFrame({key: f[key], "nx": z[:, 0], "ny": z[:, 1], "nz": z[:, 2], "least": values[:, 0], "most": values[:, 2]})
+
+    return sums.mapInPandas(solve, f"{key} long, nx double, ny double, nz double, least double, most double")
+
+
+def principal_colours(rows: DataFrame, key: str, desc: str, n: int = 3) -> DataFrame:
+    """AG17: descriptors projected to their first n principal components, scaled to 0..255; a zero descriptor is black.
+
+    The mean and the products are sums in Spark, whose number is the square of the descriptor's length.
+    """
+    from cairn.functions import vectors as V
+
+    some = rows.filter(V.has_nonzero_sum(F.col(desc))).select(F.col(desc).alias("v"))
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for f in frames:
+            x = np.stack(f["v"]).astype(np.float64) if len(f) else np.zeros((0, 1))
+            if len(x):
+                x = np.column_stack([x, np.ones(len(x))])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
+
+    sums = some.mapInPandas(add, "i int, row array<double>")
+    cells = sums.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    if not cells:
+        return rows.select(key, F.array(*[F.lit(0)] * n).alias("colour"))
+    width = 1 + max(r["i"] for r in cells)
+    total = np.zeros((width, width))
+    for r in cells:
+        total[r["i"], r["j"]] = r["x"]
+    count = total[-1, -1]
+    mean = total[-1, :-1] / count
+    _, vectors = np.linalg.eigh(total[:-1, :-1] / count - np.outer(mean, mean))
+    axes = vectors[:, ::-1][:, :n]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(n)])
+    shift = mean @ axes
+    made = [V.dot(F.col(desc), F.array(*[F.lit(float(x)) for x in axes[:, k]])) - float(shift[k]) for k in range(n)]
+    placed = rows.select(key, V.has_nonzero_sum(F.col(desc)).alias("_some"), *[c.alias(f"_p{k}") for k, c in enumerate(made)])
+    ends = placed.filter("_some").agg(*[f(f"_p{k}").alias(f"_{n_}{k}") for k in range(n) for n_, f in (("low", F.min), ("high", F.max))])
+    wide = placed.crossJoin(F.broadcast(ends))
+    scaled = [F.when(F.col("_some"), F.floor(255 * F.try_divide(F.col(f"_p{k}") - F.col(f"_low{k}"), F.col(f"_high{k}") - F.col(f"_low{k}")))).otherwise(0).cast("int") for k in range(n)]
+    return wide.select(key, F.array(*scaled).alias("colour"))
+
+
+def thinned_clusters(points: DataFrame, cluster: str, p: float, seed: int = 0) -> DataFrame:
+    """IT13: all points of a cluster go with chance p, by a draw that its number and the seed decide; noise (-1) stays."""
+    draw = (F.pmod(F.xxhash64(F.col(cluster), F.lit(seed)), F.lit(1 << 30)) / (1 << 30)).cast("double")
+    return points.filter((F.col(cluster) == -1) | (draw >= p))
+
+
 def farthest_points(points: DataFrame, key: str, n: int) -> DataFrame:
     def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pt_id").reset_index(drop=True)

@@ -171,17 +171,31 @@ def spherical(spark, d):
 def twist_round_trip(spark, d):
     o = W.poses(spark, d)
     v = [F.col("tx") / 10, F.col("ty") / 10, F.lit(0.5), (F.col("yaw") - 3) / 3, F.lit(0.25), F.lit(-0.5)]
-    back = G.log(G.exp(v))
+    # The pose as columns of their own, so that the expressions of log() refer to them.
+    back = G.log(G.pose("e_"))
+    o = o.select("o_orderkey", *[c.alias(f"e_{n}") for n, c in G.exp(v).items()])
     return o.select("o_orderkey", *[r6(back[i]).alias(f"v{i}") for i in (0, 1, 3)])
 
 
-@query(f"""WITH {W.TRAJECTORIES}, f AS (SELECT *, first_value(tx) OVER w AS x0, first_value(ty) OVER w AS y0 FROM tr WINDOW w AS (PARTITION BY seq_id ORDER BY idx)) SELECT seq_id, idx, {s6('tx - x0')} AS tx, {s6('ty - y0')} AS ty FROM f""")
+@query(f"""WITH {W.POSES}, q AS (SELECT o_orderkey, tx / 10 AS a, ty / 10 AS b, yaw - 3 AS w FROM o)
+SELECT o_orderkey, {s6('cos(w)')} AS r00, {s6('sin(w)')} AS r10, {s6('(sin(w) * a - (1 - cos(w)) * b) / w')} AS tx, {s6('((1 - cos(w)) * a + sin(w) * b) / w')} AS ty FROM q""")
+def twist_exp(spark, d):
+    """SE3: the pose of a twist about z, against its closed form."""
+    o = W.poses(spark, d)
+    zero = F.lit(0.0)
+    made = G.exp([F.col("tx") / 10, F.col("ty") / 10, zero, zero, zero, F.col("yaw") - 3])
+    return o.select("o_orderkey", *[r6(made[c]).alias(c) for c in ("r00", "r10", "tx", "ty")])
+
+
+@query(f"""WITH {W.TRAJECTORIES}, f AS (SELECT *, tx - first_value(tx) OVER w AS dx, ty - first_value(ty) OVER w AS dy FROM tr WINDOW w AS (PARTITION BY seq_id ORDER BY idx))
+SELECT seq_id, idx, {s6('cos(0.3e0) * dx + sin(0.3e0) * dy')} AS tx, {s6('cos(0.3e0) * dy - sin(0.3e0) * dx')} AS ty, {s6('sin(0.1e0 * idx)')} AS r10 FROM f""")
 def to_local_frame(spark, d):
-    t = W.trajectories(spark, d)
+    """SE18: trajectories that start with a turn of 0.3 and go on turning."""
+    t = W.turning(W.trajectories(spark, d), 0.1, 0.3)
     w = Window.partitionBy("seq_id").orderBy("idx")
-    t = t.withColumns({f"f_{c}": F.first(c).over(w) for c in ("tx", "ty", "tz")})
-    local = G.relative(G.identity() | {c: F.col(f"f_{c}") for c in ("tx", "ty", "tz")}, G.identity() | {c: F.col(c) for c in ("tx", "ty", "tz")})
-    return t.select("seq_id", "idx", r6(local["tx"]).alias("tx"), r6(local["ty"]).alias("ty"))
+    t = t.withColumns({f"f_{c}": F.first(c).over(w) for c in G.NAMES})
+    local = G.relative(G.pose("f_"), G.pose())
+    return t.select("seq_id", "idx", *[r6(local[c]).alias(c) for c in ("tx", "ty", "r10")])
 
 
 @query(f"""WITH {W.TRAJECTORIES}, f AS (SELECT *, lag(tx, 1) OVER w AS x1, lag(ty, 1) OVER w AS y1, lag(tx, 2) OVER w AS x2, lag(ty, 2) OVER w AS y2 FROM tr WINDOW w AS (PARTITION BY seq_id ORDER BY idx)) SELECT seq_id, idx, {s6('x1 + (x1 - x2)')} AS gx, {s6('y1 + (y1 - y2)')} AS gy FROM f WHERE idx >= 2""")
@@ -257,10 +271,10 @@ def nn_cell_join(spark, d):
 
 
 @query(f"""WITH {W.PAIRS}, {_KEYED}, j AS (SELECT c.pair, c.pt_id AS src_id, tk.pt_id AS tgt_id, {_D2} AS d2, (c.x * tk.x + c.z * tk.z) / (sqrt(c.x * c.x + c.z * c.z) * sqrt(tk.x * tk.x + tk.z * tk.z) + 1e-5) AS cosine, c.x + c.z AS su, tk.x + tk.z AS tu FROM {_CELL_JOIN}),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY d2 * CASE WHEN su <> 0 AND tu <> 0 THEN greatest(least(0.5 * (1 - cosine), 1), 0.01) ELSE 1 END, tgt_id) AS n FROM j) WHERE n = 1) SELECT pair, src_id, count(*) AS n FROM b WHERE sqrt(d2) < 1.5 GROUP BY pair, src_id""")
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY d2 * CASE WHEN su <> 0 AND tu <> 0 THEN greatest(least(0.5 * (1 - cosine), 1), 0.01) ELSE 1 END, tgt_id) AS n FROM j) WHERE n = 1) SELECT pair, src_id, tgt_id, {s6('sqrt(d2)')} AS d FROM b WHERE sqrt(d2) < 1.5""")
 def nn_hybrid(spark, d):
     a, b = (x.withColumn("desc", F.array("x", "z")) for x in W.pairs_of_frames(spark, d))
-    return N.nearest_hybrid(a, b, 1.0, 1.5, "pair").groupBy("pair", "src_id").agg(F.count("*").alias("n"))
+    return N.nearest_hybrid(a, b, 1.0, 1.5, "pair").select("pair", "src_id", "tgt_id", r6(F.col("d")).alias("d"))
 
 
 _BEST = "n AS (SELECT src_id, tgt_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY sim DESC, tgt_id) AS k FROM ab) WHERE k = 1)"
@@ -335,16 +349,30 @@ def nms(spark, d):
     return N.maxima(W.points(spark, d), "x", 1.0, 1.0, "frame_id").select("pt_id")
 
 
-@query("SELECT l_orderkey, min(l_linenumber) AS camera, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey")
+_PIXELS = "px AS (SELECT CAST(o_custkey % 2 AS INT) AS camera, CAST(o_orderkey % 64 AS INT) AS u, CAST(o_custkey % 48 AS INT) AS v, max(o_totalprice) AS feature FROM orders GROUP BY ALL)"
+
+
+@query(f"""WITH {W.POINTS}, {_PIXELS}, c AS (SELECT pt_id, 0 AS camera, trunc(40 * x / z + 32) AS u, trunc(40 * y / z + 24) AS v FROM p WHERE z > 0.001 UNION ALL SELECT pt_id, 1, trunc(40 * y / z + 32), trunc(40 * x / z + 24) FROM p WHERE z > 0.001),
+s AS (SELECT pt_id, c.camera, feature, row_number() OVER (PARTITION BY pt_id ORDER BY c.camera) AS n FROM c JOIN px ON c.camera = px.camera AND c.u = px.u AND c.v = px.v)
+SELECT p.pt_id, CAST(coalesce(camera, -1) AS INT) AS camera, coalesce(feature, 0) AS feature FROM p LEFT JOIN s ON p.pt_id = s.pt_id AND n = 1""")
 def camera_dedupe(spark, d):
-    """JN19: the first camera that sees a point gives its descriptor."""
-    seen = W.table(spark, d, "lineitem")
-    return seen.groupBy("l_orderkey").agg(F.min_by("l_linenumber", "l_linenumber").alias("camera"), F.count("*").alias("n"))
+    """JN19: two cameras with swapped axes; the first one whose image has the pixel gives the feature, none gives zero."""
+    p = W.points(spark, d)
+    seen = p.filter("z > 0.001")
+    of = None
+    for camera, (a, b) in enumerate((("x", "y"), ("y", "x"))):
+        u, v = G.pinhole(F.col(a), F.col(b), F.col("z"), 40, 40, 32, 24)
+        part = seen.select("pt_id", F.lit(camera).alias("camera"), u.alias("u"), v.alias("v")).filter(G.in_image(F.col("u"), F.col("v"), 64, 48))
+        of = part if of is None else of.unionByName(part)
+    o = W.table(spark, d, "orders")
+    pixels = o.groupBy((F.col("o_custkey") % 2).cast("int").alias("camera"), (F.col("o_orderkey") % 64).cast("int").alias("u"), (F.col("o_custkey") % 48).cast("int").alias("v")).agg(F.max("o_totalprice").alias("feature"))
+    return P.gathered(of, pixels, p).select("pt_id", F.coalesce("camera", F.lit(-1)).alias("camera"), F.coalesce("feature", F.lit(0.0)).alias("feature"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
 def complement_set(spark, d):
-    return W.table(spark, d, "customer").join(W.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    orders = W.table(spark, d, "orders").filter("o_orderkey % 7 = 0")
+    return W.table(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 # Time.
@@ -450,14 +478,29 @@ def segment_last_frame(spark, d):
     return M.segments(W.trajectories(spark, d), "seq_id", "idx")
 
 
-@query(f"WITH {_SEGMENTS} SELECT sg.seq_id, {s6('avg(sqrt((b.tx - a.tx) * (b.tx - a.tx) + (b.ty - a.ty) * (b.ty - a.ty)) / length)')} AS terr, count(*) AS n FROM sg JOIN wy a ON a.seq_id = sg.seq_id AND a.idx = first JOIN wy b ON b.seq_id = sg.seq_id AND b.idx = last GROUP BY sg.seq_id")
+@query(f"""WITH {_SEGMENTS}, g AS (SELECT sg.seq_id, length, b.tx - a.tx AS dx, b.ty - a.ty AS dy, 0.01e0 * a.idx AS y, 0.012e0 * a.idx + 0.05e0 AS z, 0.002e0 * (b.idx - a.idx) AS r
+FROM sg JOIN wy a ON a.seq_id = sg.seq_id AND a.idx = first JOIN wy b ON b.seq_id = sg.seq_id AND b.idx = last),
+e AS (SELECT seq_id, length, r, cos(y) * dx + sin(y) * dy - cos(z) * dx * 1.02e0 - sin(z) * dy * 0.99e0 AS ex, cos(y) * dy - sin(y) * dx - cos(z) * dy * 0.99e0 + sin(z) * dx * 1.02e0 AS ey FROM g)
+SELECT seq_id, {s6('100 * avg(sqrt(ex * ex + ey * ey) / length)')} AS terr, {s6('avg(acos(cos(r)) / length) / 3.14e0 * 180')} AS rerr, count(*) AS n FROM e GROUP BY seq_id""")
 def segment_errors(spark, d):
-    """AG9 against a standstill: the mean translation error for each metre."""
+    """AG9: an estimate that stretches and turns too fast against the truth."""
+    t = W.trajectories(spark, d)
+    estimate = W.turning(t.withColumns({"tx": F.col("tx") * 1.02, "ty": F.col("ty") * 0.99}), 0.012, 0.05)
+    out = M.segment_errors(W.turning(t, 0.01, 0.0), estimate, "seq_id", "idx")
+    return out.select("seq_id", r6(F.col("terr")).alias("terr"), r6(F.col("rerr")).alias("rerr"), "n")
+
+
+@query(f"""WITH {W.TRAJECTORIES}, q AS (SELECT seq_id, tx, ty, 0.01e0 * idx AS y, cos(0.3e0) * tx * 1.02e0 - sin(0.3e0) * ty + 5 AS ex, sin(0.3e0) * tx * 1.02e0 + cos(0.3e0) * ty - 2 AS ey, 0.012e0 * idx + 0.3e0 AS z FROM tr),
+m AS (SELECT seq_id, avg(ex) AS cx, avg(ey) AS cy, avg(tx) AS mx, avg(ty) AS my, atan2(covar_pop(ex, ty) - covar_pop(ey, tx), covar_pop(ex, tx) + covar_pop(ey, ty)) AS a FROM q GROUP BY seq_id),
+b AS (SELECT seq_id, tx, ty, y - z - a AS r, cos(a) * (ex - cx) - sin(a) * (ey - cy) + mx AS px, sin(a) * (ex - cx) + cos(a) * (ey - cy) + my AS py FROM q JOIN m USING (seq_id))
+SELECT seq_id, {s6('sqrt(avg(acos(cos(r)) * acos(cos(r))))')} AS rotation, {s6('sqrt(avg((tx - cos(r) * px + sin(r) * py) * (tx - cos(r) * px + sin(r) * py) + (ty - sin(r) * px - cos(r) * py) * (ty - sin(r) * px - cos(r) * py)))')} AS translation, count(*) AS n FROM b GROUP BY seq_id""")
+def trajectory_errors(spark, d):
+    """AG10: an estimate that is turned, moved and stretched against the truth."""
     t = W.trajectories(spark, d)
-    ends = [t.select("seq_id", F.col("idx").alias(k), F.col("tx").alias(f"{k}x"), F.col("ty").alias(f"{k}y")) for k in ("first", "last")]
-    s = M.segments(t, "seq_id", "idx").join(ends[0], ["seq_id", "first"]).join(ends[1], ["seq_id", "last"])
-    dx, dy = F.col("lastx") - F.col("firstx"), F.col("lasty") - F.col("firsty")
-    return s.groupBy("seq_id").agg(r6(F.avg(F.sqrt(dx * dx + dy * dy) / F.col("length"))).alias("terr"), F.count("*").alias("n"))
+    c, s = math.cos(0.3), math.sin(0.3)
+    moved = t.withColumns({"tx": c * F.col("tx") * 1.02 - s * F.col("ty") + 5, "ty": s * F.col("tx") * 1.02 + c * F.col("ty") - 2})
+    out = M.absolute_errors(W.turning(t, 0.01, 0.0), W.turning(moved, 0.012, 0.3), "seq_id", "idx")
+    return out.select("seq_id", r6(F.col("rotation")).alias("rotation"), r6(F.col("translation")).alias("translation"), "n")
 
 
 # Solvers.
@@ -470,19 +513,37 @@ def _pairs(spark, d):
     return p.select("frame_id", "pt_id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), x.alias("tx"), y.alias("ty"), z.alias("tz"))
 
 
-_PAIRED = f"{W.POINTS}, pr AS (SELECT frame_id, x AS sx, y AS sy, z AS sz, cos(frame_id * 0.01) * x - sin(frame_id * 0.01) * y + frame_id * 0.02 AS tx, sin(frame_id * 0.01) * x + cos(frame_id * 0.01) * y AS ty, z AS tz FROM p)"
+_PAIRED = f"{W.POINTS}, pr AS (SELECT frame_id, pt_id, x AS sx, y AS sy, z AS sz, cos(frame_id * 0.01) * x - sin(frame_id * 0.01) * y + frame_id * 0.02 AS tx, sin(frame_id * 0.01) * x + cos(frame_id * 0.01) * y AS ty, z AS tz FROM p)"
+
 
+_J = [["1", "0", "0", "0", "sz", "(-sy)"], ["0", "1", "0", "(-sz)", "0", "sx"], ["0", "0", "1", "sy", "(-sx)", "0"]]
+_CENT = "floor(({}) * 1e2 + 0.5e0) / 1e2"
+_H = ", ".join(_CENT.format("sum(w * (" + " + ".join(f"{_J[i][a]} * {_J[i][b]}" for i in range(3)) + "))") + f" AS h{a}{b}" for a in range(6) for b in range(a, 6))
+_G = ", ".join(_CENT.format("sum(w * (" + " + ".join(f"{_J[i][a]} * (s{'xyz'[i]} - t{'xyz'[i]})" for i in range(3)) + "))") + f" AS g{a}" for a in range(6))
 
-@query(f"""WITH {_PAIRED}, w AS (SELECT *, 0.25e0 / pow(0.5e0 + (sx - tx) * (sx - tx) + (sy - ty) * (sy - ty) + (sz - tz) * (sz - tz), 2) AS w FROM pr)
-SELECT frame_id, floor(sum(w) * 1e4 + 0.5e0) / 1e4 AS h00, floor(sum(w * (sx * sx + sy * sy)) * 1e3 + 0.5e0) / 1e3 AS h55, floor(sum(w * (sx - tx)) * 1e4 + 0.5e0) / 1e4 AS g0 FROM w GROUP BY frame_id""")
+
+@query(f"""WITH {_PAIRED}, w AS (SELECT *, 0.25e0 / pow(0.5e0 + (sx - tx) * (sx - tx) + (sy - ty) * (sy - ty) + (sz - tz) * (sz - tz), 2) AS w FROM pr) SELECT frame_id, {_H}, {_G} FROM w GROUP BY frame_id""")
 def normal_equations(spark, d):
+    """AG1: all 27 sums."""
     row = S.normal_equations(_pairs(spark, d), 0.5, "frame_id")
-    return row.select("frame_id", (F.floor(F.col("h00") * 1e4 + 0.5) / 1e4).alias("h00"), (F.floor(F.col("h55") * 1e3 + 0.5) / 1e3).alias("h55"), (F.floor(F.col("g0") * 1e4 + 0.5) / 1e4).alias("g0"))
+    return row.select("frame_id", *[(F.floor(F.col(c) * 1e2 + 0.5) / 1e2).alias(c) for c in row.columns[1:]])
+
+
+_MILLI = "floor(({}) * 1e3 + 0.5e0) / 1e3"
+_TENTH = "floor(({}) * 1e4 + 0.5e0) / 1e4"
+
+
+def _rounded(c, to: float):
+    return F.floor(F.col(c) * to + 0.5) / to
 
 
-@query(f"WITH {_PAIRED} SELECT frame_id, {s6('avg(sx)')} AS cx, {s6('avg(ty)')} AS cy, {s6('covar_pop(sx, ty)')} AS cov FROM pr GROUP BY frame_id")
+@query(f"""WITH {_PAIRED}, w AS (SELECT *, 1e0 / (1 + pt_id % 7) AS w FROM pr), m AS (SELECT frame_id, sum(w * sx) / (sum(w) + 1e-6) AS csx, sum(w * sy) / (sum(w) + 1e-6) AS csy, sum(w * ty) / (sum(w) + 1e-6) AS cty FROM w GROUP BY frame_id)
+SELECT frame_id, {s6('any_value(csx)')} AS csx, {s6('any_value(cty)')} AS cty, {_MILLI.format('sum(w * (sx - csx) * (ty - cty))')} AS hxy, {_MILLI.format('sum(w * (sy - csy) * (ty - cty))')} AS hyy FROM w JOIN m USING (frame_id) GROUP BY frame_id""")
 def weighted_centroid_cov(spark, d):
-    return _pairs(spark, d).groupBy("frame_id").agg(r6(F.avg("sx")).alias("cx"), r6(F.avg("ty")).alias("cy"), r6(F.covar_pop("sx", "ty")).alias("cov"))
+    """AG3: weights between 1/7 and 1."""
+    pairs = _pairs(spark, d).withColumn("w", 1 / (1 + F.col("pt_id") % 7))
+    out = S.weighted_sums(pairs, "w", "frame_id")
+    return out.select("frame_id", r6(F.col("csx")).alias("csx"), r6(F.col("cty")).alias("cty"), _rounded("hxy", 1e3).alias("hxy"), _rounded("hyy", 1e3).alias("hyy"))
 
 
 @query(f"""SELECT CAST(f AS BIGINT) AS frame_id, {s6('cos(f * 0.01)')} AS r00, {s6('f * 0.02')} AS tx FROM (SELECT DISTINCT l_orderkey % 50 AS f FROM lineitem)""")
@@ -491,65 +552,99 @@ def kabsch_svd(spark, d):
     return S.solve_groups(_pairs(spark, d), "frame_id").select("frame_id", r6(F.col("r00")).alias("r00"), r6(F.col("tx")).alias("tx"))
 
 
-@query(f"""SELECT CAST(f AS BIGINT) AS frame_id, {s6('cos(f * 0.01)')} AS r00, {s6('f * 0.02')} AS tx FROM (SELECT DISTINCT l_orderkey % 50 AS f FROM lineitem)""")
+_KNOWN = f"SELECT CAST(f AS BIGINT) AS frame_id, {_TENTH.format('cos(f * 0.01)')} AS r00, {_TENTH.format('f * 0.02')} AS tx FROM (SELECT DISTINCT l_orderkey % 50 AS f FROM lineitem)"
+
+
+def _with_outliers(spark, d, share: int, off: float):
+    """One pair in ten, `share` times, ends somewhere else."""
+    return _pairs(spark, d).withColumn("tx", F.when(F.col("pt_id") % 10 < share, F.col("tx") + off + F.col("pt_id") % 97).otherwise(F.col("tx")))
+
+
+@query(_KNOWN)
 def ransac_register(spark, d):
-    return S.solve_groups(_pairs(spark, d), "frame_id", "ransac").select("frame_id", r6(F.col("r00")).alias("r00"), r6(F.col("tx")).alias("tx"))
+    """IT4: three pairs in ten are outliers; the pose of the others comes back."""
+    found = S.solve_groups(_with_outliers(spark, d, 3, 50.0), "frame_id", "ransac")
+    return found.select("frame_id", _rounded("r00", 1e4).alias("r00"), _rounded("tx", 1e4).alias("tx"))
 
 
-@query()
+@query(_KNOWN)
 def robust_register(spark, d):
-    return S.solve_groups(_pairs(spark, d), "frame_id", "robust")
+    """IT2, first phase: one pair in ten is an outlier."""
+    found = S.solve_groups(_with_outliers(spark, d, 1, 60.0), "frame_id", "robust")
+    return found.select("frame_id", _rounded("r00", 1e4).alias("r00"), _rounded("tx", 1e4).alias("tx"))
 
 
-@query()
+@query(f"SELECT CAST(f AS BIGINT) AS frame_id, floor(0.05e0 * (f % 3) * 1e2 + 0.5e0) / 1e2 AS tx, floor(-0.05e0 * (f % 2) * 1e2 + 0.5e0) / 1e2 AS ty, {_MILLI.format('sin(0.001e0 * (f % 3))')} AS r10 FROM (SELECT DISTINCT l_orderkey % 50 AS f FROM lineitem)")
 def icp_register(spark, d):
-    a, b = W.pairs_of_frames(spark, d)
-    return S.pairwise(a, b, "pair", voxel=4.0, sigma=2.0)
+    """IT9: each frame against itself moved by a known pose."""
+    p = W.points(spark, d)
+    f = F.col("frame_id")
+    pose = G.from_euler(F.lit(0.0), F.lit(0.0), f % 3 * 0.001) | {"tx": f % 3 * 0.05, "ty": f % 2 * -0.05}
+    x, y, z = G.apply(pose, F.col("x"), F.col("y"), F.col("z"))
+    found = S.pairwise(p, W.points(spark, d).select("frame_id", "pt_id", x.alias("x"), y.alias("y"), z.alias("z")), "frame_id", voxel=0.5, sigma=0.2)
+    return found.select("frame_id", _rounded("tx", 1e2).alias("tx"), _rounded("ty", 1e2).alias("ty"), _rounded("r10", 1e3).alias("r10"))
 
 
-@query()
-def fps(spark, d):
-    return S.farthest_points(W.points(spark, d), "frame_id", 32)
+def _fps_sql(n: int) -> str:
+    point = "struct_pack(i := pt_id, x := x, y := y, z := z)"
+    out = [W.POINTS, f"s0 AS (SELECT frame_id, arg_min({point}, pt_id) AS s FROM p GROUP BY frame_id)", "d0 AS (SELECT *, 1e10 AS m FROM p)"]
+    for k in range(1, n):
+        out.append(f"d{k} AS (SELECT q.frame_id, pt_id, x, y, z, least(m, (x - s.x) * (x - s.x) + (y - s.y) * (y - s.y) + (z - s.z) * (z - s.z)) AS m FROM d{k - 1} q JOIN s{k - 1} USING (frame_id))")
+        out.append(f"s{k} AS (SELECT frame_id, arg_max({point}, (CASE WHEN x * x + y * y + z * z > 1e-3 THEN m ELSE -1 END, -pt_id)) AS s FROM d{k} GROUP BY frame_id)")
+    return "WITH " + ", ".join(out) + " " + " UNION ALL ".join(f"SELECT frame_id, CAST({k} AS BIGINT) AS slot, s.i AS pt_id FROM s{k}" for k in range(n))
 
 
-_MILLI = "floor(({}) * 1e3 + 0.5e0) / 1e3"
+@query(_fps_sql(6))
+def fps(spark, d):
+    return S.farthest_points(W.points(spark, d), "frame_id", 6)
 
 
-@query(f"WITH {W.TRAJECTORIES} SELECT seq_id, idx AS vertex, {_MILLI.format('tx')} AS tx, {_MILLI.format('ty')} AS ty, {_MILLI.format('cos(idx * 0.1)')} AS r00 FROM tr")
+@query(f"""WITH {W.TRAJECTORIES}, m AS (SELECT seq_id, idx, tx - coalesce(lag(tx) OVER w, 0) + 0.1e0 * (idx % 3) AS ox FROM tr WINDOW w AS (PARTITION BY seq_id ORDER BY idx)),
+e AS (SELECT seq_id, max(idx) AS n, arg_max(tx, idx) - arg_min(tx, idx) - sum(ox) FILTER (idx > 0) AS lx FROM m JOIN tr USING (seq_id, idx) GROUP BY seq_id),
+c AS (SELECT seq_id, idx, ox + CASE WHEN idx > 0 THEN lx / (n + 1) ELSE 0 END AS ox FROM m JOIN e USING (seq_id))
+SELECT seq_id, idx AS vertex, {_MILLI.format('sum(ox) OVER w')} AS tx FROM c WINDOW w AS (PARTITION BY seq_id ORDER BY idx)""")
 def pose_graph(spark, d):
-    """IT11: exact steps, and loops between each tenth pose and the tenth before it; the known poses come back."""
+    """IT11: steps along a line that drift, and a loop from the first to the last pose whose error the least squares share out evenly."""
     w = Window.partitionBy("seq_id").orderBy("idx")
-    t = W.trajectories(spark, d)
-    t = t.select("seq_id", "idx", *[c.alias(n) for n, c in (G.from_euler(F.lit(0.0), F.lit(0.0), F.col("idx") * 0.1) | {c: F.col(c) for c in ("tx", "ty", "tz")}).items()])
-    seen = {}
-    for back, first in ((1, "prior"), (10, None)):
-        before = {c: F.lag(c, back).over(w) for c in G.NAMES}
-        step = t.select("*", *[c.alias(f"b_{n}") for n, c in before.items()])
-        move = G.relative(G.pose("b_"), G.pose())
-        whole = F.col("idx") < back
-        kind = F.when(whole, first).otherwise("odom" if back == 1 else "loop")
-        seen[back] = step.select("seq_id", (F.col("idx") * 2 + int(back > 1)).alias("k"), kind.alias("kind"), (F.col("idx") - back).alias("src"), F.col("idx").alias("dst"), F.lit(0.1).alias("sigma"), *[F.when(whole, F.col(n)).otherwise(c).alias(n) for n, c in move.items()])
-    factors = seen[1].unionByName(seen[10].filter("kind = 'loop' AND dst % 10 = 0"))
-    milli = lambda c: F.floor(F.col(c) * 1e3 + 0.5) / 1e3
-    return PG.pose_graph(factors, "seq_id", "k").select("seq_id", "vertex", *[milli(c).alias(c) for c in ("tx", "ty", "r00")])
-
-
-@query()
+    t = W.trajectories(spark, d).withColumn("last", F.max("idx").over(Window.partitionBy("seq_id")))
+    zero = F.lit(0.0)
+    step = t.select("seq_id", "idx", (F.col("tx") - F.coalesce(F.lag("tx").over(w), zero) + 0.1 * (F.col("idx") % 3)).alias("mx"))
+    turn = [F.lit(1.0 if c in ("r00", "r11", "r22") else 0.0).alias(c) for c in G.NAMES[:9]]
+    steps = step.select("seq_id", (F.col("idx") * 2).alias("k"), F.when(F.col("idx") == 0, "prior").otherwise("odom").alias("kind"), (F.col("idx") - 1).alias("src"), F.col("idx").alias("dst"), F.lit(0.1).alias("sigma"), *turn, F.col("mx").alias("tx"), zero.alias("ty"), zero.alias("tz"))
+    loops = t.withColumn("f_tx", F.first("tx").over(w)).filter("idx = last AND idx > 1")
+    loops = loops.select("seq_id", (F.col("idx") * 2 + 1).alias("k"), F.lit("loop").alias("kind"), F.lit(0).cast("long").alias("src"), F.col("idx").alias("dst"), F.lit(0.1).alias("sigma"), *turn, (F.col("tx") - F.col("f_tx")).alias("tx"), zero.alias("ty"), zero.alias("tz"))
+    out = PG.pose_graph(steps.unionByName(loops), "seq_id", "k")
+    return out.select("seq_id", "vertex", _rounded("tx", 1e3).alias("tx"))
+
+
+@query("SELECT CAST(s AS BIGINT) AS seq_id, CAST(f AS BIGINT) AS frame_id, floor(0.2e0 * f * 10 + 0.5e0) / 10 AS tx, floor(-0.1e0 * f * 10 + 0.5e0) / 10 AS ty, floor(sin(0.002e0 * f) * 1e3 + 0.5e0) / 1e3 AS r10 FROM (SELECT unnest(range(4)) AS s), (SELECT unnest(range(4)) AS f)")
 def odometry(spark, d):
-    p = W.points(spark, d).withColumn("seq_id", F.col("frame_id") % 5)
-    return S.odometry(p, voxel=4.0, low=1.0)
+    """IT8: four sequences of a cloud seen from known poses."""
+    base = W.points(spark, d).filter("frame_id < 4").withColumnRenamed("frame_id", "seq_id")
+    seen = base.withColumn("frame_id", F.explode(F.expr("sequence(0L, 3L)")))
+    f = F.col("frame_id")
+    pose = G.inverse(G.from_euler(F.lit(0.0), F.lit(0.0), f * 0.002) | {"tx": f * 0.2, "ty": f * -0.1})
+    x, y, z = G.apply(pose, F.col("x"), F.col("y"), F.col("z"))
+    found = S.odometry(seen.withColumns({"x": x, "y": y, "z": z}), voxel=1.0, low=1.0)
+    return found.select("seq_id", "frame_id", _rounded("tx", 10).alias("tx"), _rounded("ty", 10).alias("ty"), _rounded("r10", 1e3).alias("r10"))
 
 
 # Sinks.
 
 
-@query(f"""WITH {W.POSES} SELECT o_orderkey, printf('%.4f %.4f %.4f', CAST(o_orderkey AS DOUBLE), tx, ty) AS line FROM o""")
+_QUATERNION = "CASE WHEN 2 + 2 * cos(yaw) >= 2 - 2 * cos(yaw) THEN sqrt(2 + 2 * cos(yaw)) / 2 ELSE 2 * sin(yaw) / (2 * sqrt(2 - 2 * cos(yaw))) END AS qw, CASE WHEN 2 + 2 * cos(yaw) >= 2 - 2 * cos(yaw) THEN 2 * sin(yaw) / (2 * sqrt(2 + 2 * cos(yaw))) ELSE sqrt(2 - 2 * cos(yaw)) / 2 END AS qz"
+
+
+@query(f"""WITH {W.POSES}, q AS (SELECT *, {_QUATERNION} FROM o) SELECT o_orderkey, printf('%.4f %.4f %.4f 0.0000 0.0000 0.0000 %.4f %.4f', CAST(o_orderkey AS DOUBLE), tx, ty, qz, qw) AS line FROM q""")
 def stamped_rows(spark, d):
     o = W.poses(spark, d)
-    return o.select("o_orderkey", F.format_string("%.4f %.4f %.4f", F.col("o_orderkey").cast("double"), "tx", "ty").alias("line"))
+    return scans.stamped_lines(o.select("o_orderkey", *[c.alias(n) for n, c in W.pose_of(o).items()]), "o_orderkey").withColumnRenamed("value", "line")
 
 
-@query()
+@query(f"""WITH {W.POSES}, z AS (SELECT '0.000000e+00' AS z, '1.000000e+00' AS e) SELECT o_orderkey, concat_ws(' ', printf('%.6e', cos(yaw)), printf('%.6e', -sin(yaw) + 0e0), z, printf('%.6e', tx), printf('%.6e', sin(yaw)), printf('%.6e', cos(yaw)), z, printf('%.6e', ty), z, z, e, z) AS value FROM o, z""")
 def kitti_rows(spark, d):
     o = W.poses(spark, d)
     return scans.pose_lines(o.select("o_orderkey", *[c.alias(n) for n, c in W.pose_of(o).items()]), "o_orderkey")
+
+
+from cairn.plans import more  # noqa: E402, F401

@@ -84,6 +84,12 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRAJECTORIES = "tr AS (SELECT user_id AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, epoch_us(ts) AS t, value * cos(CAST(event_id AS DOUBLE)) AS tx, value * sin(CAST(event_id AS DOUBLE)) AS ty, value, event_type, event_id FROM events)"
 
 
+def turning(trajectory: DataFrame, rate: float, start: float) -> DataFrame:
+    """(seq_id, idx, pose) of a trajectory that turns about z by rate at each step."""
+    pose = G.from_euler(F.lit(0.0), F.lit(0.0), F.col("idx") * rate + start) | {c: F.col(c) for c in ("tx", "ty", "tz")}
+    return trajectory.select("seq_id", "idx", *[c.alias(n) for n, c in pose.items()])
+
+
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as an error log."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("scene"), (F.col("l_discount") * 10).alias("rte"), (F.col("l_tax") * 100).alias("rre"))

@@ -113,7 +113,8 @@ def read_poses(spark: SparkSession, path: str) -> DataFrame:
 def pose_lines(poses: DataFrame, order: str = "idx") -> DataFrame:
     """SK2: (order, value): the twelve numbers of each pose in one line."""
     names = [x for i in range(3) for x in (f"r{i}0", f"r{i}1", f"r{i}2", "t" + "xyz"[i])]
-    return poses.select(order, F.concat_ws(" ", *[F.format_string("%.6e", F.col(n)) for n in names]).alias("value"))
+    # Plus zero: no sign before a zero.
+    return poses.select(order, F.concat_ws(" ", *[F.format_string("%.6e", F.col(n) + F.lit(0.0)) for n in names]).alias("value"))
 
 
 def stamped_lines(poses: DataFrame, t: str = "t") -> DataFrame:
@@ -121,7 +122,7 @@ def stamped_lines(poses: DataFrame, t: str = "t") -> DataFrame:
     from cairn.functions import geometry as G
 
     w, x, y, z = G.quaternion(G.pose())
-    return poses.select(t, F.concat_ws(" ", *[F.format_string("%.4f", c.cast("double")) for c in (F.col(t), F.col("tx"), F.col("ty"), F.col("tz"), x, y, z, w)]).alias("value"))
+    return poses.select(t, F.concat_ws(" ", *[F.format_string("%.4f", c.cast("double") + F.lit(0.0)) for c in (F.col(t), F.col("tx"), F.col("ty"), F.col("tz"), x, y, z, w)]).alias("value"))
 
 
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:

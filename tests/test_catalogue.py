@@ -1,4 +1,3 @@
-import numpy as np
 import pytest
 
 from cairn.operators import solvers as S
@@ -16,23 +15,12 @@ def test_gives_rows(name, spark, data):
     assert QUERIES[name](spark, data).count() > 0
 
 
-def test_solvers_see_every_point(spark, data):
-    """fps, icp_register and odometry against the whole frames of the table."""
+def test_farthest_points_see_every_point(spark, data):
+    """fps against the whole frames of the table."""
     points = W.points(spark, data).toPandas().sort_values("pt_id")
     frames = {f: (p["pt_id"].to_numpy(), S.xyz(p)) for f, p in points.groupby("frame_id")}
     far = {(r.frame_id, r.slot): r.pt_id for r in QUERIES["fps"](spark, data).collect()}
-    assert far == {(f, i): ids[k] for f, (ids, p) in frames.items() for i, k in enumerate(S.farthest(p, min(32, len(p))))}
-    pose = {r.pair: [r[c] for c in S.POSE_COLUMNS] for r in QUERIES["icp_register"](spark, data).collect()}
-    for pair in (0, 7, 24):
-        grid = S.CellMap(4.0)
-        grid.add(S.downsample(frames[2 * pair + 1][1], 2.0))
-        cloud = S.downsample(S.downsample(frames[2 * pair][1], 2.0), 6.0)
-        assert np.allclose(pose[pair], list(S.pose_row(S.icp(cloud, grid, np.eye(4), 6.0, 2 / 3)).values()), atol=1e-9)
-    path = {r.frame_id: [r[c] for c in S.POSE_COLUMNS] for r in QUERIES["odometry"](spark, data).collect()}
-    assert set(path) == set(frames)
-    state = S.Odometry(voxel=4.0, low=1.0)
-    for f in sorted(f for f in frames if f % 5 == 3):
-        assert np.allclose(path[f], list(S.pose_row(state.register(frames[f][1])).values()), atol=1e-9)
+    assert far == {(f, i): ids[k] for f, (ids, p) in frames.items() for i, k in enumerate(S.farthest(p, min(6, len(p))))}
 
 
 def test_entry(spark):
