@@ -284,20 +284,26 @@ def across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
         return stored(rows.mapInArrow(lambda it: _across_batches(it, percent), "a long, b long"), "missed", keep=True, rows=ROWS_OF_BATCH)
 
 
-def _least_ids(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows (doc_id, n_shingles, sid) with component_id.
+def _look_up(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows joined with found, which has one row for each key and n, the rows that have it.
 
-    Sets with over a thousandth of all rows, and over a hundred, are looked up in a broadcast table,
+    Keys with over a thousandth of all rows, and over a hundred, are looked up in a broadcast table,
     of a thousand rows at most; the others by a join in which no key has more than that.
     """
-    by_set = rows.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    named = stored(by_set.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", "n", F.coalesce("label", "sid").alias("label")), "named")
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = stored(named.join(least, "label").select("sid", "n", "component_id"), "found")
     many = max(100, (found.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0) // 1000)
-    hot = F.broadcast(found.filter(F.col("n") > many).select("sid", "component_id"))
-    cold = found.filter(F.col("n") <= many).select("sid", "component_id")
-    return rows.join(hot, "sid").unionByName(rows.join(hot, "sid", "left_anti").join(cold, "sid")).select("doc_id", "n_shingles", "component_id")
+    hot = F.broadcast(found.filter(F.col("n") > many).drop("n"))
+    cold = found.filter(F.col("n") <= many).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
+
+
+def _least_ids(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (doc_id, n_shingles, sid) with component_id."""
+    by_set = rows.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    named = by_set.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.col("n").alias("rows"), F.coalesce("label", "sid").alias("label"))
+    named = stored(named, "named")
+    least = stored(named.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least")
+    found = stored(_look_up(named, least, "label").select("sid", F.col("rows").alias("n"), "component_id"), "found")
+    return _look_up(rows, found, "sid").select("doc_id", "n_shingles", "component_id")
 
 
 def near_groups(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
