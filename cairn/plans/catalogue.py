@@ -647,4 +647,4 @@ def kitti_rows(spark, d):
     return scans.pose_lines(o.select("o_orderkey", *[c.alias(n) for n, c in W.pose_of(o).items()]), "o_orderkey")
 
 
-from cairn.plans import more  # noqa: E402, F401
+from cairn.plans import more, sensing  # noqa: E402, F401

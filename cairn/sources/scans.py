@@ -133,7 +133,7 @@ def read_calibration(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_timestamps(spark: SparkSession, path: str) -> DataFrame:
-    """SC12, SC30: the first column as ts."""
+    """SC30: the first column as ts."""
     return spark.read.text(path).select(F.split(F.trim("value"), r"\s+")[0].cast("long").alias("ts"))
 
 
