@@ -76,48 +76,58 @@ def solve_step(row) -> np.ndarray:
 
 
 class CellMap:
-    """Points by truncated voxel: the first `cap` of each; nearest within the 27 cells around a point."""
+    """Points by truncated voxel: the first `cap` of each; nearest within the 27 cells around a point.
+
+    A point is a row of x, y, z and, where all have one, its descriptor.
+    """
 
     def __init__(self, size: float, cap: int = 20) -> None:
-        self.size, self.cap = size, cap
+        self.size, self.cap, self.width = size, cap, 3
         self.cells: dict[tuple[int, int, int], list[np.ndarray]] = {}
 
     def keys(self, p: np.ndarray) -> np.ndarray:
-        return np.trunc(p / self.size).astype(np.int64)
+        return np.trunc(p[:, :3] / self.size).astype(np.int64)
 
     def add(self, p: np.ndarray) -> None:
+        self.width = p.shape[1]
         for key, x in zip(map(tuple, self.keys(p).tolist()), p, strict=True):
             cell = self.cells.setdefault(key, [])
             if len(cell) < self.cap:
                 cell.append(x)
 
     def evict(self, origin: np.ndarray, far: float) -> None:
-        self.cells = {k: c for k, c in self.cells.items() if np.sum((c[0] - origin) ** 2) <= far * far}
+        self.cells = {k: c for k, c in self.cells.items() if np.sum((c[0][:3] - origin) ** 2) <= far * far}
 
     def points(self) -> np.ndarray:
-        return np.array([x for c in self.cells.values() for x in c]).reshape(-1, 3)
+        return np.array([x for c in self.cells.values() for x in c]).reshape(-1, self.width)
 
-    def nearest(self, p: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places in p that have a match nearer than far, and the matches."""
+    def nearest(self, p: np.ndarray, far: float, desc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places in p that have a match nearer than far, and the matches; with descriptors of p ranked as JN3 does."""
         places, found = [], []
         known: dict[tuple[int, int, int], np.ndarray] = {}
         for n, (key, x) in enumerate(zip(map(tuple, self.keys(p).tolist()), p, strict=True)):
             if key not in known:
                 i, j, k = key
-                known[key] = np.array([q for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) for c in (k - 1, k, k + 1) for q in self.cells.get((a, b, c), ())]).reshape(-1, 3)
+                known[key] = np.array([q for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) for c in (k - 1, k, k + 1) for q in self.cells.get((a, b, c), ())]).reshape(-1, self.width)
             around = known[key]
             if len(around):
-                d2 = ((around - x) ** 2).sum(1)
-                best = int(d2.argmin())
+                d2 = ((around[:, :3] - x) ** 2).sum(1)
+                best = int((d2 if desc is None else d2 * unlikeness(desc[n], around[:, 3:])).argmin())
                 if d2[best] < far * far:
                     places.append(n)
-                    found.append(around[best])
+                    found.append(around[best, :3])
         return np.array(places, np.int64), np.array(found).reshape(-1, 3)
 
 
+def unlikeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Half of 1 - cosine of a descriptor and each of b, from 0.01 to 1; 1 where one of the two sums to zero."""
+    cosine = b @ a / (np.linalg.norm(a) * np.linalg.norm(b, axis=1) + 1e-5)
+    return np.where((a.sum() != 0) & (b.sum(1) != 0), np.clip(0.5 * (1 - cosine), 0.01, 1.0), 1.0)
+
+
 def downsample(p: np.ndarray, size: float) -> np.ndarray:
-    """First point of each truncated voxel, in input order."""
-    _, first = np.unique(np.trunc(p / size).astype(np.int64), axis=0, return_index=True)
+    """First point of each truncated voxel, in input order; columns beyond x, y, z stay."""
+    _, first = np.unique(np.trunc(p[:, :3] / size).astype(np.int64), axis=0, return_index=True)
     return p[np.sort(first)]
 
 
@@ -126,12 +136,16 @@ def moved(p: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 def icp(source: np.ndarray, target: CellMap, guess: np.ndarray, far: float, kernel: float, rounds: int = 1000, stop: float = 1e-4) -> np.ndarray:
-    """IT1, IT10: pose of source in target; the guess for an empty map or when nothing is near."""
+    """IT1, IT10: pose of source in target; the guess for an empty map or when nothing is near.
+
+    IT3: where source has descriptors beside x, y, z, as target then must, matches are ranked with them.
+    """
     if not target.cells:
         return guess
-    p, out = moved(source, guess), guess
+    desc = source[:, 3:] if source.shape[1] > 3 else None
+    p, out = moved(source[:, :3], guess), guess
     for _ in range(rounds):
-        places, t = target.nearest(p, far)
+        places, t = target.nearest(p, far, desc)
         if not len(places):
             break
         s = p[places]
@@ -364,16 +378,20 @@ def odometry(points: DataFrame, seq: str = "seq_id", frame: str = "frame_id", re
     return rows.mapInPandas(run, f"{seq} long, {frame} long, {POSE_SCHEMA}")
 
 
-def pairwise(source: DataFrame, target: DataFrame, key: str, voxel: float = 1.0, sigma: float = 1.0) -> DataFrame:
-    """IT9: pose of each source cloud in the target cloud of the same key."""
+def pairwise(source: DataFrame, target: DataFrame, key: str, voxel: float = 1.0, sigma: float = 1.0, desc: str | None = None) -> DataFrame:
+    """IT9: pose of each source cloud in the target cloud of the same key; with a column of descriptors by IT3."""
+
+    def rows(f: pd.DataFrame) -> np.ndarray:
+        f = f.sort_values("pt_id")
+        return np.column_stack([xyz(f), np.stack(f[desc])]) if desc and len(f) else xyz(f)
 
     def run(k: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         grid = CellMap(voxel)
-        grid.add(downsample(xyz(b.sort_values("pt_id")), 0.5 * voxel))
-        cloud = downsample(downsample(xyz(a.sort_values("pt_id")), 0.5 * voxel), 1.5 * voxel)
+        grid.add(downsample(rows(b), 0.5 * voxel))
+        cloud = downsample(downsample(rows(a), 0.5 * voxel), 1.5 * voxel)
         return pd.DataFrame([{key: k[0]} | pose_row(icp(cloud, grid, np.eye(4), 3 * sigma, sigma / 3))])
 
-    columns = [key, "pt_id", "x", "y", "z"]
+    columns = [key, "pt_id", "x", "y", "z", *([desc] if desc else [])]
     return source.select(*columns).groupBy(key).cogroup(target.select(*columns).groupBy(key)).applyInPandas(run, f"{key} long, {POSE_SCHEMA}")
 
 

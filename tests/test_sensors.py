@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cairn import __main__ as command
 from cairn.functions import geometry as G
 from cairn.functions import noise
+from cairn.operators import solvers as S
 from cairn.sources import results, sensors
 
 
@@ -87,3 +88,21 @@ def test_command_line(spark, data, tmp_path, capsys):
     assert "depth_cloud" in capsys.readouterr().out.split()
     command.main(["run", "sphere_voxels", "--data", data, "--out", str(tmp_path / "out")])
     assert spark.read.parquet(str(tmp_path / "out")).count() == 288
+
+
+def test_descriptors_choose_among_near_points():
+    grid = S.CellMap(1.0)
+    grid.add(np.array([[0.4, 0, 0, 1, 0], [0.1, 0, 0, 0, 1], [0.2, 0, 0, 0, 0]], np.float64))
+    places, found = grid.nearest(np.zeros((1, 3)), 1.0, np.array([[1.0, 0.0]]))
+    assert places.tolist() == [0] and found.tolist() == [[0.4, 0, 0]]
+    assert grid.nearest(np.zeros((1, 3)), 1.0)[1].tolist() == [[0.1, 0, 0]]
+    assert len(grid.nearest(np.zeros((1, 3)), 0.3, np.array([[1.0, 0.0]]))[0]) == 0
+    assert S.unlikeness(np.array([1.0, 0]), np.array([[-1.0, 0], [0, 0], [1, 0]])) == pytest.approx([1, 1, 0.01], abs=1e-4)
+    rng = np.random.default_rng(4)
+    cloud = np.column_stack([rng.uniform(-5, 5, (800, 3)), rng.normal(0, 1, (800, 8))])
+    t = S.se3_exp(np.array([0.3, -0.3, 0.2, 0, 0, 0.01]))
+    grid = S.CellMap(1.0)
+    grid.add(np.column_stack([S.moved(cloud[:, :3], t), cloud[:, 3:]]))
+    assert np.allclose(S.icp(cloud, grid, np.eye(4), 1.5, 0.3), t, atol=1e-3)
+    first = [np.linalg.norm(S.icp(c, grid, np.eye(4), 1.5, 0.3, rounds=1) - t) for c in (cloud, cloud[:, :3])]
+    assert first[0] < 0.5 * first[1]
